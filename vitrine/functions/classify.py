@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.scores import CONFIDENCE_FLOOR
 from vitrine.functions.text import (
-    any_of, contains_text, first_filled, join_words, or_else, strip, term_pattern, terms_present, word_pattern,
+    WORD_CHAR, any_of, contains_text, first_filled, in_list_order, join_words, or_else, strip, term_pattern, terms_present, text_array, word_pattern,
 )
 
 
@@ -106,7 +106,7 @@ def is_weak_name(name: Column) -> Column:
 
 
 def _overlaps(present: Column, terms) -> Column:
-    return F.arrays_overlap(present, F.array(*[F.lit(t) for t in terms]))
+    return F.arrays_overlap(present, text_array(terms))
 
 
 def audience(present: Column) -> Column:
@@ -125,19 +125,18 @@ def _decision(main, slug, confidence, reason) -> Column:
         column(reason).alias("reason"))
 
 
-def classify_terms(present: Column) -> Column:
-    """struct(main_slug, category_slug, confidence, reason) from the set of terms present in a text."""
+def classify_terms(present: Column, who: Column) -> Column:
+    """struct(main_slug, category_slug, confidence, reason) from the terms in a text and its audience."""
     has = lambda *terms: _overlaps(present, terms)
     family = lambda r: "watches" if r.slug.startswith("watches") else r.slug
     families = list(dict.fromkeys(family(r) for r in RULES))
     n_families = sum(
         (has(*[t for r in RULES if family(r) == f for t in r.terms]).cast("int") for f in families), F.lit(0))
     conflict = (n_families > 1) | ((n_families > 0) & has(*GARMENT_CONFLICT))
-    who = audience(present)["audience"]
     gendered = who.isin("women", "men")
     decision = F.when(conflict, _decision(None, None, 0.55, "multiple product families appear in the same post"))
     for r in RULES:
-        first = F.get(F.filter(F.array(*[F.lit(t) for t in r.terms]), lambda t: F.array_contains(present, t)), F.lit(0))
+        first = F.get(in_list_order(present, r.terms), F.lit(0))
         decision = decision.when(
             has(*r.terms),
             _decision(r.main, r.slug, r.confidence, F.concat(F.lit("explicit product term: "), first)))
@@ -172,10 +171,9 @@ def is_non_product(text: Column, present: Column | None = None) -> Column:
 
 def suggested_name(current: Column, text: Column) -> Column:
     """struct(name, confidence): a canonical noun from the metadata when the stored name is weak."""
-    whole = rf"(?<![\p{{L}}\p{{N}}_])({{}})(?![\p{{L}}\p{{N}}_])"
     options = []
     for pattern, canonical in NAME_NOUNS:
-        hit = F.nullif(F.regexp_extract(text, "(?i)" + whole.format(pattern), 1), F.lit(""))
+        hit = F.nullif(F.regexp_extract(text, rf"(?i)(?<!{WORD_CHAR})({pattern})(?!{WORD_CHAR})", 1), F.lit(""))
         options.append(F.when(hit.isNotNull(), F.lit(canonical) if canonical else title_words(hit)))
     weak = (current == "") | current.rlike(WEAK_NAME)
     name = F.when(weak, F.coalesce(*options))
@@ -212,13 +210,16 @@ def with_classification(products: DataFrame) -> DataFrame:
     })
     staged = staged.withColumns({
         "non_product": is_non_product(F.col("cls_text"), F.col("cls_terms")),
-        "direct": classify_terms(F.col("cls_terms")),
-        "cls_by_name": classify_terms(F.col("cls_name_terms")),
         "cls_audience": audience(F.col("cls_terms"))["audience"],
+        "cls_name_audience": audience(F.col("cls_name_terms"))["audience"],
+    })
+    staged = staged.withColumns({
+        "direct": classify_terms(F.col("cls_terms"), F.col("cls_audience")),
+        "cls_by_name": classify_terms(F.col("cls_name_terms"), F.col("cls_name_audience")),
     })
     staged = staged.withColumn("decision", _two_stage_decision(staged))
     staged = staged.withColumn("ambiguity", ambiguity_reason(staged))
-    return staged.drop("cls_name_terms", "cls_by_name")
+    return staged.drop("cls_name_terms", "cls_by_name", "cls_name_audience")
 
 
 def _accepted(decision: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.scores import HTTP_URL
 from vitrine.functions.text import (
     WORD_CHAR, alternation, any_of, contains_text, count_of, contains_word, first_word, identify_product,
-    looks_like_unparsed_caption, or_else, strip, word_pattern, words_found, _literal_map,
+    looks_like_unparsed_caption, or_else, strip, word_pattern, words_found, literal_map,
 )
 from vitrine.taxonomy import QueryVocabulary, Taxonomy, escape_regex
 
@@ -146,7 +146,9 @@ def infer_brand(description: Column, followers: Column) -> Column:
 def fashion_metadata(description: Column, taxonomy: Taxonomy, words: QueryVocabulary) -> Column:
     text = F.lower(description)
     product = identify_product(text, taxonomy)
-    colours = words_found(text, words.caption_colours)
+    scan = (*words.caption_colours, *words.caption_styles, *words.caption_fits, *words.caption_materials,
+            *words.caption_patterns, *words.caption_occasions)
+    colours = words_found(text, words.caption_colours, scan)
     return F.struct(
         F.regexp_extract_all(description, F.lit("#([A-Za-z0-9_]+)"), F.lit(1)).alias("hashtags"),
         product["family"].alias("product_family"),
@@ -154,11 +156,11 @@ def fashion_metadata(description: Column, taxonomy: Taxonomy, words: QueryVocabu
         F.get(colours, F.lit(0)).alias("primary_colour"),
         F.when(F.size(colours) > 1, F.slice(colours, F.lit(2), F.greatest(F.size(colours), F.lit(1))))
         .otherwise(F.array().cast("array<string>")).alias("secondary_colours"),
-        words_found(text, words.caption_styles).alias("style"),
-        first_word(text, words.caption_fits).alias("fit"),
-        first_word(text, words.caption_materials).alias("material"),
-        first_word(text, words.caption_patterns).alias("pattern"),
-        words_found(text, words.caption_occasions).alias("occasion"),
+        words_found(text, words.caption_styles, scan).alias("style"),
+        first_word(text, words.caption_fits, scan).alias("fit"),
+        first_word(text, words.caption_materials, scan).alias("material"),
+        first_word(text, words.caption_patterns, scan).alias("pattern"),
+        words_found(text, words.caption_occasions, scan).alias("occasion"),
     )
 
 
@@ -166,20 +168,15 @@ def fallback_product_name(description: Column) -> Column:
     """Colour, material and garment words of the caption; null when there are none."""
     text = F.lower(F.regexp_replace(or_else(description, ""), PHOTO_CREDIT, ""))
     nouns = sorted(PRODUCT_TERMS, key=len, reverse=True)
-    noun = F.coalesce(*[F.when(text.rlike(word_pattern(n, suffix="s?")), F.lit(title_case(n))) for n in nouns],
-                      F.lit(None).cast("string"))
+    scan = (*FALLBACK_COLOURS, *FALLBACK_MATERIALS)
     words = F.array_compact(F.concat(
-        F.transform(words_found(text, FALLBACK_COLOURS), F.initcap),
-        F.transform(words_found(text, FALLBACK_MATERIALS), F.initcap),
-        F.array(noun),
+        F.transform(words_found(text, FALLBACK_COLOURS, scan), F.initcap),
+        F.transform(words_found(text, FALLBACK_MATERIALS, scan), F.initcap),
+        F.array(F.element_at(literal_map({n: n.title() for n in nouns}), first_word(text, nouns, plural=True))),
     ))
     return F.when(F.size(words) > 0, F.substring(F.array_join(F.array_distinct(words), " "), 1, 100))
 
 
-def title_case(word: str) -> str:
-    return word.title()
-
-
 def _trim_marks(text: Column, extra: str = "") -> Column:
     marks = f"[{EDGE_MARKS}{extra}]+"
     return F.regexp_replace(text, f"^{marks}|{marks}$", "")
@@ -201,12 +198,13 @@ def clean_product_name(description: Column, taxonomy: Taxonomy, words: QueryVoca
         & ~F.lower(clause).isin(*REJECTED_CANDIDATES)
     )
     lowered = F.lower(text)
+    scan = (*words.caption_colours, *words.caption_materials)
     kind = identify_product(text, taxonomy)["type"]
     concise = F.concat_ws(
         " ",
-        F.initcap(first_word(lowered, words.caption_colours)),
-        F.initcap(first_word(lowered, words.caption_materials)),
-        F.element_at(_literal_map(taxonomy.type_labels), kind),
+        F.initcap(first_word(lowered, words.caption_colours, scan)),
+        F.initcap(first_word(lowered, words.caption_materials, scan)),
+        F.element_at(literal_map(taxonomy.type_labels), kind),
     )
     return (
         F.when(presentable, clause)

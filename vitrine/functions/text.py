@@ -23,6 +23,23 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in columns])
 
 
+def _sql_text(value) -> str:
+    if isinstance(value, tuple):
+        return f"array({', '.join(_sql_text(v) for v in value)})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def text_array(values: Iterable[str]) -> Column:
+    """A constant array, built from one parsed text rather than one call per element."""
+    return F.expr(_sql_text(tuple(values)))
+
+
+def literal_map(entries: dict) -> Column:
+    return F.expr(f"map({', '.join(f'{_sql_text(k)}, {_sql_text(v)}' for k, v in entries.items())})")
+
+
 def strip(column: Column) -> Column:
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
@@ -68,17 +85,37 @@ def contains_text(text: Column, *parts: str) -> Column:
     return any_of([F.coalesce(text.contains(p), F.lit(False)) for p in parts])
 
 
-def words_found(text: Column, words: Sequence[str]) -> Column:
-    """The listed words that occur as whole words, in list order."""
-    return F.array_compact(F.array(*[F.when(contains_word(text, w), F.lit(w)) for w in words]))
+def words_present(text: Column, words: Sequence[str], plural: bool = False) -> Column:
+    """All listed words found as whole words (optionally with a plural s), in one regex pass."""
+    words = list(dict.fromkeys(words))
+    tail = "s?" if plural else ""
+    implied = {}
+    for surface in sorted({*words, *((w + "s" for w in words) if plural else ())}):
+        implied[surface] = tuple(w for w in words if re.match(re.escape(w) + tail + r"(?!\w)", surface))
+    longest_first = sorted(words, key=lambda w: (-len(w), w))
+    pattern = rf"(?<!{WORD_CHAR})(?=((?:{alternation(longest_first)}){tail})(?!{WORD_CHAR}))"
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(hits, lambda s: F.element_at(literal_map(implied), s))))
+
+
+def in_list_order(present: Column, words: Sequence[str]) -> Column:
+    return F.array_intersect(text_array(dict.fromkeys(words)), present)
+
+
+def words_found(text: Column, words: Sequence[str], scan: Sequence[str] = (), plural: bool = False) -> Column:
+    """The listed words that occur as whole words, in list order.
+
+    Pass the same ``scan`` list to several calls and they share one pass over the text.
+    """
+    return in_list_order(words_present(text, [*(scan or words)], plural), words)
 
 
 def parts_found(text: Column, parts: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(contains_text(text, p), F.lit(p)) for p in parts]))
 
 
-def first_word(text: Column, words: Sequence[str]) -> Column:
-    return F.coalesce(*[F.when(contains_word(text, w), F.lit(w)) for w in words], F.lit(None).cast("string"))
+def first_word(text: Column, words: Sequence[str], scan: Sequence[str] = (), plural: bool = False) -> Column:
+    return F.get(words_found(text, words, scan, plural), F.lit(0))
 
 
 def first_part(text: Column, parts: Sequence[str]) -> Column:
@@ -101,7 +138,7 @@ def terms_present(text: Column, terms: Sequence[str]) -> Column:
     longest_first = sorted(terms, key=lambda t: (-len(t), t))
     pattern = rf"(?<![a-z0-9])(?=((?:{alternation(longest_first)})s?)(?![a-z0-9]))"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(hits, lambda s: F.element_at(_literal_map(implied), s))))
+    return F.array_distinct(F.flatten(F.transform(hits, lambda s: F.element_at(literal_map(implied), s))))
 
 
 def taxonomy_hits(text: Column, taxonomy: Taxonomy) -> Column:
@@ -111,13 +148,6 @@ def taxonomy_hits(text: Column, taxonomy: Taxonomy) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
 
 
-def _literal_map(entries: dict) -> Column:
-    cells = []
-    for key, value in entries.items():
-        cells += [F.lit(key), F.array(*[F.lit(v) for v in value]) if isinstance(value, tuple) else F.lit(value)]
-    return F.create_map(*cells)
-
-
 def identify_product(text: Column, taxonomy: Taxonomy) -> Column:
     """struct(family, type) of the longest matching term; ties keep taxonomy order; nulls when none."""
     ranked = taxonomy.ranked_terms
@@ -128,9 +158,10 @@ def identify_product(text: Column, taxonomy: Taxonomy) -> Column:
     for term, rank in rank_of.items():
         surface_rank.setdefault(term + "s", rank)
     best = F.array_min(
-        F.transform(taxonomy_hits(text, taxonomy), lambda s: F.element_at(_literal_map(surface_rank), s))
+        F.transform(taxonomy_hits(text, taxonomy), lambda s: F.element_at(literal_map(surface_rank), s))
     )
-    entries = F.array(*[F.struct(F.lit(t.family).alias("family"), F.lit(t.type).alias("type")) for t in ranked])
+    entries = F.expr("array(" + ", ".join(
+        f"named_struct('family', {_sql_text(t.family)}, 'type', {_sql_text(t.type)})" for t in ranked) + ")")
     found = F.get(entries, best)
     return F.struct(found["family"].alias("family"), found["type"].alias("type"))
 
@@ -139,14 +170,14 @@ def matched_types(text: Column, taxonomy: Taxonomy) -> Column:
     """Every type with a term in the text. Testing a per-row type then is array_contains, not a regex."""
     types = {s: kinds for s, (kinds, _) in taxonomy.surfaces.items()}
     return F.array_distinct(
-        F.flatten(F.transform(taxonomy_hits(text, taxonomy), lambda s: F.element_at(_literal_map(types), s)))
+        F.flatten(F.transform(taxonomy_hits(text, taxonomy), lambda s: F.element_at(literal_map(types), s)))
     )
 
 
 def matched_families(text: Column, taxonomy: Taxonomy) -> Column:
     families = {s: fams for s, (_, fams) in taxonomy.surfaces.items()}
     return F.array_distinct(
-        F.flatten(F.transform(taxonomy_hits(text, taxonomy), lambda s: F.element_at(_literal_map(families), s)))
+        F.flatten(F.transform(taxonomy_hits(text, taxonomy), lambda s: F.element_at(literal_map(families), s)))
     )
 
 
@@ -257,7 +288,7 @@ def canonical_gender(value: Column) -> Column:
 def audience_signal(audience: Column, requested: Column) -> Column:
     """+1 for matching or unisex evidence, -1 for evidence of the other gender only, 0 otherwise."""
     tokens = F.regexp_extract_all(audience, F.lit("([a-z]+)"), F.lit(1))
-    has = lambda words: F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+    has = lambda words: F.arrays_overlap(tokens, text_array(words))
     women, men, unisex = has(WOMEN_WORDS), has(MEN_WORDS), has(("unisex",))
     wanted = canonical_gender(requested)
     match = F.when(wanted == "women", women).otherwise(men)
@@ -286,17 +317,18 @@ def extract_query_attributes(query: Column, taxonomy: Taxonomy, words: QueryVoca
         F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1)),
         lambda t: (F.length(t) > 2) & ~t.isin(*words.token_stopwords),
     )
+    scan = (*words.colours, *words.styles, *words.materials)
     return F.struct(
         product["type"].alias("product_type"),
         product["family"].alias("product_family"),
-        words_found(text, words.colours).alias("colours"),
-        words_found(text, words.styles).alias("styles"),
+        words_found(text, words.colours, scan).alias("colours"),
+        words_found(text, words.styles, scan).alias("styles"),
         parts_found(text, words.fits).alias("fits"),
         gender.alias("gender"),
         _amount_after(text, "under|below|less than|up to").alias("max_price"),
         _amount_after(text, "over|above|more than|from").alias("min_price"),
         first_part(text, words.occasions).alias("occasion"),
-        first_word(text, words.materials).alias("material"),
+        first_word(text, words.materials, scan).alias("material"),
         parts_found(text, words.aesthetics).alias("aesthetic_terms"),
         tokens.alias("query_tokens"),
     )
@@ -401,7 +433,7 @@ def constructed_title(p, taxonomy: Taxonomy, colours: Sequence[str]) -> Column:
     text = F.lower(join_words([p["description"], p["product_name"], p["item_name"]]))
     colour = F.initcap(first_word(text, colours))
     kind = identify_product(text, taxonomy)["type"]
-    label = F.element_at(_literal_map(taxonomy.type_labels), kind)
+    label = F.element_at(literal_map(taxonomy.type_labels), kind)
     parts = F.array_distinct(F.array_compact(F.array(
         F.nullif(presentable_brand(p["brand_name"]), F.lit("")), colour, label)))
     return F.when(F.size(parts) >= 2, F.array_join(parts, " "))
