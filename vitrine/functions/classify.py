@@ -198,28 +198,43 @@ def with_classification(products: DataFrame) -> DataFrame:
     ``ambiguity``. The two term scans are materialised first, so each text is read once.
     """
     name = display_name(products)
+    m = products["metadata"]
+    # Fields of the metadata struct are taken out first; the generator stages read flat columns only.
     staged = products.withColumns({
         "cls_text": compact_text(products),
         "cls_name": name,
         "cls_weak": is_weak_name(name),
+        "cls_caption": or_else(m["caption"], ""),
+        "cls_tags": F.concat_ws(" ", m["hashtags"]),
+        "cls_alt": or_else(m["alt_text"], ""),
     })
-    staged = staged.withColumns({
+    staged = _stage(staged, {
         "cls_terms": terms_present(F.col("cls_text"), ALL_TERMS),
         "cls_name_terms": terms_present(
             F.lower(F.when(F.col("cls_weak"), "").otherwise(strip_vision_guess(F.col("cls_name")))), ALL_TERMS),
     })
-    staged = staged.withColumns({
+    staged = _stage(staged, {
         "non_product": is_non_product(F.col("cls_text"), F.col("cls_terms")),
         "cls_audience": audience(F.col("cls_terms"))["audience"],
         "cls_name_audience": audience(F.col("cls_name_terms"))["audience"],
     })
-    staged = staged.withColumns({
+    staged = _stage(staged, {
         "direct": classify_terms(F.col("cls_terms"), F.col("cls_audience")),
         "cls_by_name": classify_terms(F.col("cls_name_terms"), F.col("cls_name_audience")),
     })
-    staged = staged.withColumn("decision", _two_stage_decision(staged))
-    staged = staged.withColumn("ambiguity", ambiguity_reason(staged))
-    return staged.drop("cls_name_terms", "cls_by_name", "cls_name_audience")
+    staged = _stage(staged, {"decision": _two_stage_decision(staged)})
+    staged = _stage(staged, {"ambiguity": ambiguity_reason(staged)})
+    return staged.drop("cls_name_terms", "cls_by_name", "cls_name_audience", "cls_caption", "cls_tags", "cls_alt")
+
+
+def _stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    A later filter on a decision would otherwise be pushed down with the whole rule ladder substituted into
+    it, once per mention, and every text would be scanned again for each of them.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
 
 
 def _accepted(decision: Column) -> Column:
@@ -233,11 +248,11 @@ def _with_source(decision: Column, confidence: Column, reason: Column, source: s
 
 
 def _two_stage_decision(p) -> Column:
-    by_name, direct, m = p["cls_by_name"], p["direct"], p["metadata"]
+    by_name, direct = p["cls_by_name"], p["direct"]
     reason_term = F.lower(strip(F.element_at(F.split(direct["reason"], ":"), -1)))
     brand_context = [p[c] for c in ("brand_category", "brand_bio") if c in p.columns]
     evidence = F.array_distinct(F.filter(F.transform(F.array(
-        p["cls_name"], p["description"], m["caption"], F.concat_ws(" ", m["hashtags"]), m["alt_text"],
+        p["cls_name"], p["description"], p["cls_caption"], p["cls_tags"], p["cls_alt"],
         *brand_context), lambda v: F.lower(strip(or_else(v, "")))), lambda v: v != ""))
     pattern = F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(reason_term, r"([\\.^$|()\[\]{}*+?\-])", r"\\$1"),
                        F.lit("s?(?![a-z0-9])"))
@@ -255,11 +270,11 @@ def _two_stage_decision(p) -> Column:
 
 def ambiguity_reason(p) -> Column:
     """Why a product is not confidently categorised: one of seven reasons, first that applies."""
-    name, m, decision = p["cls_name"], p["metadata"], p["decision"]
+    name, decision = p["cls_name"], p["decision"]
     caption_like = (F.length(name) >= 90) | name.rlike(CAPTION_NAME)
-    no_text = (strip(or_else(p["description"], "")) == "") & (or_else(m["caption"], "") == "")
+    no_text = (strip(or_else(p["description"], "")) == "") & (p["cls_caption"] == "")
     garment = _overlaps(p["cls_terms"], AMBIGUOUS_GARMENTS) & p["cls_audience"].isNull()
-    no_tags = (F.coalesce(F.size(m["hashtags"]), F.lit(0)) <= 0) & (or_else(p["source_hashtag"], "") == "")
+    no_tags = (p["cls_tags"] == "") & (or_else(p["source_hashtag"], "") == "")
     unsure = decision["category_slug"].isNotNull() & (decision["confidence"] < CONFIDENCE_FLOOR)
     return (
         F.when(p["non_product"], "likely non-product post")

@@ -34,5 +34,5 @@ def skew_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys]), F.lit(SALTS))
     salted = marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0).cast("long"))).drop("_hot")
     copies = F.when(F.col(rows_per_key) > HOT_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(copies).cast("long"))
+    repeated = right.withColumn("_salt", F.explode(copies.cast("array<bigint>")))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -9,9 +9,10 @@ from vitrine.functions.personal import personalization_match
 from vitrine.functions.text import extract_query_attributes, join_words
 from vitrine.operators import ranking as R
 from vitrine.operators import retrieval as V
-from vitrine.operators.catalog import hydrate_candidates
+from vitrine.operators.catalog import ENRICHED_COLUMNS, enrich_products, hydrate_candidates
 from vitrine.operators.filters import filter_condition
 from vitrine.operators.fusion import candidate_union
+from vitrine.session import cut_lineage
 from vitrine.taxonomy import QueryVocabulary, Taxonomy
 
 FILTERS = ("min_price", "max_price", "min_niche", "min_followers", "brand", "gender")
@@ -34,14 +35,21 @@ def resolve_queries(queries: DataFrame, taxonomy: Taxonomy, words: QueryVocabula
 
 def candidates(queries: DataFrame, products: DataFrame, brands: DataFrame, categories: DataFrame, taxonomy: Taxonomy, *,
                threshold: float = 0.0, k: int = V.DISCOVER_CANDIDATES, mode: str = "vector") -> DataFrame:
-    """Retrieved candidates plus the exact-type rows retrieval missed, with each query's attributes."""
+    """Retrieved candidates plus the exact-type rows retrieval missed, with each query's attributes.
+
+    The retrieved (query, product) pairs, at most a few hundred per query, are written once: both the
+    exact-type lookup and the union read them, and the catalog scan behind them must not run twice.
+    """
     if mode == "hybrid":
-        retrieved = V.hybrid_candidates(queries, products, brands, categories, bounds={n: n for n in FILTERS})
+        hits = V.hybrid_candidates(queries, products, brands, categories, bounds={n: n for n in FILTERS})
     else:
-        retrieved = V.match_products(queries, products, brands, categories, threshold=threshold, k=k)
+        hits = V.knn_join(queries, products, categories, threshold=threshold, k=k)
+    hits = cut_lineage(hits.select("qid", "id", "similarity", "rank"))
+    retrieved = hits.join(enrich_products(products, brands, categories).select(*ENRICHED_COLUMNS), "id")
+    if mode != "hybrid":
         retrieved = hydrate_candidates(retrieved, products)
     typed = queries.select("qid", F.col("attributes.product_type").alias("product_type"))
-    extra_ids = V.exact_type_products(typed, products, retrieved, taxonomy)
+    extra_ids = V.exact_type_products(typed, products, hits, taxonomy)
     extra = extra_ids.join(products.drop("embedding"), "id").withColumn("rank", F.col("rank") + F.lit(1_000_000))
     rows = candidate_union([retrieved, extra])
     facts = queries.select("qid", "attributes", F.col("category_id").alias("requested_category_id"), *[F.col(n).alias(f"f_{n}") for n in FILTERS])
