@@ -40,7 +40,7 @@ CAPTIONS = (
     "Look 12",
 )
 SLUGS = ("women-dresses", "men-shirts", "accessories-jewellery", "women-kurtis", "unisex-hoodies", "women-jeans",
-         "watches", "home-decor", "women-tops", "men-jeans", "accessories-bags", "uncategorized")
+         "watches-minimal", "home-decor", "women-tops", "men-jeans", "accessories-bags", "uncategorized")
 HANDLES = ("bellamar.label", "@Studio  Nine", "_didije_", "bowberry.in", "Fashion Capital", "linen.house", "", "kaya_wear")
 
 

@@ -42,3 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vitrine-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a job's files under ``spark.checkpoint.dir``, or a local temporary one in tests."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrine-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
