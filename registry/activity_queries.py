@@ -9,6 +9,8 @@ from registry.core import NOW, query
 from registry.hardware import lit, part
 from registry.scalar_queries import enriched, joined
 from vitrine.operators import activity as A
+from vitrine.session import scratch_folder
+from vitrine.sources.files import append_audit, read_ingestion_audit
 
 
 def nearest(p: float) -> str:
@@ -27,16 +29,33 @@ def _(t):
 OUTCOMES = "CASE event_type WHEN 'purchase' THEN 'INSERTED' WHEN 'click' THEN 'UPDATED' WHEN 'error' THEN 'FAILED_IMAGE' WHEN 'view' THEN 'REVIEW' ELSE NULL END"
 
 
-@query("ingestion_runs", f"""
+RUNS_SQL = f"""
     WITH a AS (SELECT 'batch_' || user_id AS batch_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS tm, coalesce({OUTCOMES}, 'UNKNOWN') AS outcome FROM events), c AS (SELECT batch_id, outcome, count(*) AS n, min(tm) AS lo, max(tm) AS hi FROM a GROUP BY 1, 2)
-    SELECT batch_id, min(lo) AS started_at, max(hi) AS finished_at, CAST(coalesce(sum(n) FILTER (outcome IN ('INSERTED', 'UPDATED')), 0) AS BIGINT) AS products_added, CAST(coalesce(sum(n) FILTER (outcome = 'FAILED_IMAGE'), 0) AS BIGINT) AS failures, string_agg(outcome || '=' || n, ',' ORDER BY outcome) AS outcomes FROM c GROUP BY 1""")
-def _(t):
-    audit = t.events.select(F.concat(F.lit("batch_"), F.col("user_id").cast("string")).alias("batch"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.expr(OUTCOMES).alias("outcome"))
+    SELECT batch_id, min(lo) AS started_at, max(hi) AS finished_at, CAST(coalesce(sum(n) FILTER (outcome IN ('INSERTED', 'UPDATED')), 0) AS BIGINT) AS products_added, CAST(coalesce(sum(n) FILTER (outcome = 'FAILED_IMAGE'), 0) AS BIGINT) AS failures, string_agg(outcome || '=' || n, ',' ORDER BY outcome) AS outcomes FROM c GROUP BY 1"""
+
+
+def audit_events(t):
+    return t.events.select(F.concat(F.lit("batch_"), F.col("user_id").cast("string")).alias("batch"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.expr(OUTCOMES).alias("outcome"))
+
+
+def run_rows(audit):
     rows = A.ingestion_runs(audit)
     entries = F.transform(F.map_entries("outcomes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return rows.withColumn("outcomes", F.array_join(F.array_sort(entries), ","))
 
 
+@query("ingestion_runs", RUNS_SQL)
+def _(t):
+    return run_rows(audit_events(t))
+
+
+@query("read_ingestion_audit", RUNS_SQL)
+def _(t):
+    path = scratch_folder(t.spark, "audit-log")
+    append_audit(audit_events(t), path)
+    return run_rows(read_ingestion_audit(t.spark, path))
+
+
 @query("stale_brands", f"""
     WITH l AS (SELECT brand_id, max(coalesce(scraped_at, created_at)) AS last FROM products WHERE brand_id <> 'Brand#5' AND CAST(id AS INT) < 60 * CAST(regexp_extract(brand_id, '([0-9]+)', 1) AS INT) GROUP BY 1), a AS (SELECT b.id AS brand_id, b.instagram_username, l.last, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(l.last)) / 86400000000.0) AS BIGINT) AS age_days FROM brands b LEFT JOIN l ON l.brand_id = b.id)
     SELECT brand_id, instagram_username, age_days, CASE WHEN age_days IS NULL THEN 'NEVER_REFRESHED' ELSE 'STALE' END AS status FROM a WHERE age_days IS NULL OR age_days >= 70""")

@@ -86,6 +86,11 @@ def _(t):
     return t.products.select("id", P.is_active(s).alias("is_active"), P.is_not_non_product(s).alias("is_not_non_product"))
 
 
+@query("is_active", "SELECT id FROM products WHERE coalesce(catalog_status, 'ACTIVE') = 'ACTIVE'")
+def _(t):
+    return t.products.where(P.is_active(F.col("catalog_status"))).select("id")
+
+
 @query("usable_image", f"SELECT id, {USABLE_SQL} AS usable FROM products")
 def _(t):
     return t.products.select("id", S.usable_image(F.col("image_url"), F.col("image_status")).alias("usable"))

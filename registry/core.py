@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from registry import views
 from vitrine.session import pin_utc
+from vitrine.sources.tables import spread
 
 NOW = "2024-02-01 00:00:00"
 STORAGE = "https://storage.example.com"
 DIM = 64
+TEXT_TABLES = ("part", "embeddings", "documents", "pages", "conversations")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +41,8 @@ class Tables:
             text = views.spark_sql(name)
             inputs = {d: getattr(self, d) for d in views.view_dependencies(name)}
             return self.spark.sql(text, **inputs)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     @cached_property
     def now(self):

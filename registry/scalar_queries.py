@@ -285,6 +285,11 @@ def _(t):
         S.has_embedding(F.col("e"), DIM).alias("has_embedding"))
 
 
+@query("has_embedding", f"SELECT id, coalesce(len(embedding), 0) = {DIM} AS has_embedding FROM products")
+def _(t):
+    return t.products.select("id", S.has_embedding(F.col("embedding"), DIM).alias("has_embedding"))
+
+
 @query("parse_embedding", """
     SELECT vec_id, CASE WHEN vec_id % 4 = 3 THEN 0 ELSE 64 END AS dims,
            CASE WHEN vec_id % 4 = 3 THEN 0.0 ELSE round_even(list_sum(list_transform(embedding::DOUBLE[], lambda x: round_even(x, 4))), 3) END AS total,

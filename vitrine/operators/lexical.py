@@ -69,29 +69,33 @@ def full_text_hits(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(qid, id, similarity, rank): products matching all words of an alternative and none it excludes.
 
     Each alternative is looked up by its rarest word only, so a common word never fans out; the rest of the
-    alternative is then tested on the joined row. No grouping by (query, product) is needed.
+    alternative is then tested on the joined row. Queries that ask for the same words in the same scope, as
+    most of a search log does, are matched once and share the result.
     """
-    alternatives = queries.select("qid", "scope", F.posexplode(parse_search(F.col("query"))).alias("nth", "alt")).select(
-        "qid", "nth", "scope", F.col("alt.must").alias("must"), F.col("alt.must_not").alias("must_not"))
+    asked = queries.select("qid", "scope", F.posexplode(parse_search(F.col("query"))).alias("nth", "alt")).select(
+        "qid", "nth", "scope", F.array_sort("alt.must").alias("must"), F.array_sort("alt.must_not").alias("must_not"))
+    asked = asked.withColumn("ask", F.sha2(F.to_json(F.struct("must", "must_not", "scope")), 256))
+    alternatives = asked.select("ask", "must", "must_not", "scope").dropDuplicates(["ask"])
     wanted = alternatives.select(
-        "qid", "nth", F.explode(F.array_distinct(F.flatten(F.transform("must", lambda t: F.split(t, " "))))).alias("word"))
+        "ask", F.explode(F.array_distinct(F.flatten(F.transform("must", lambda t: F.split(t, " "))))).alias("word"))
     vocabulary = wanted.select("word").distinct()
     postings = index.select("id", F.explode("words").alias("word"))
     frequency = postings.join(small_side(vocabulary), "word", "left_semi").groupBy("word").count()
     anchor = (
         wanted.join(frequency, "word", "left")
-        .groupBy("qid", "nth").agg(F.min_by("word", F.struct(or_else(F.col("count"), 0), "word")).alias("anchor")))
-    anchored = alternatives.join(anchor, ["qid", "nth"])
+        .groupBy("ask").agg(F.min_by("word", F.struct(or_else(F.col("count"), 0), "word")).alias("anchor")))
+    anchored = alternatives.join(anchor, "ask")
     if at_most(alternatives, BROADCAST_ROWS):
         anchored = F.broadcast(anchored)
     rows = index.withColumn("anchor", F.explode("words")).join(anchored, "anchor")
     has = lambda t: F.contains(F.col("doc"), F.concat(F.lit(" "), t, F.lit(" ")))
     in_scope = F.col("scope").isNull() | or_else(F.array_contains("scope", F.col("category_id")), False)
     matched = rows.where(in_scope & F.forall("must", has) & ~F.exists("must_not", has))
-    scored = matched.select("qid", "nth", "id", F.bround(weighted_lexical_rank(F.col("must")), 9).alias("similarity"))
+    scored = matched.select("ask", "id", F.bround(weighted_lexical_rank(F.col("must")), 9).alias("similarity"))
     # A product among the k best of a query is among the k best of the alternative it scores highest in.
-    spot = F.row_number().over(Window.partitionBy("qid", "nth").orderBy(F.desc("similarity"), "id"))
-    best = scored.withColumn("_spot", spot).where(F.col("_spot") <= k).groupBy("qid", "id").agg(F.max("similarity").alias("similarity"))
+    spot = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("similarity"), "id"))
+    heads = scored.withColumn("_spot", spot).where(F.col("_spot") <= k).drop("_spot")
+    best = asked.select("qid", "ask").join(heads, "ask").groupBy("qid", "id").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -31,6 +31,15 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of few files over all cores before costly per-row work.
+
+    A small file often is one row group and so one task. A table of many files is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def failures_or_empty(spark: SparkSession, path: str) -> DataFrame:
     try:
         return read_table(spark, path, FAILURES)
