@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, mixing, near_dedup, packing, sharding, token_counts
+from vitrine.llm import exact_dedup, licenses, mixing, near_dedup, packing, sharding, token_counts
 from vitrine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,55 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _rows(rules) -> str:
+    cells = [(n, r.label, f" {r.keyword} ", r.pattern, r.certainty) for n, r in enumerate(rules)]
+    return ", ".join(f"({n}, '{label}', '{keyword}', '{pattern}', {certainty}::DOUBLE)" for n, label, keyword, pattern, certainty in cells)
+
+
+def _found(rules: str) -> str:
+    """SQL: word intervals of all matches of a rule table."""
+    n = "(length({0}) - length(replace({0}, ' ', ''))) // 2"
+    return f"""
+    SELECT doc_id, rule, label, certainty, start, start + {n.format("split_part(part, chr(2), 1)")} AS stop FROM (
+        SELECT *, sum({n.format("part")}) OVER (PARTITION BY doc_id, rule ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS start FROM (
+            SELECT doc_id, rule, label, certainty, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (
+                SELECT doc_id, r.*, string_split(regexp_replace(s, '(' || pattern || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts
+                FROM spaced JOIN {rules} r ON contains(s, keyword))))
+    WHERE i > 1"""
+
+
+BASE_RULES = [licenses.Rule(label, licenses.words(phrase)[1:-1], licenses.words(phrase), 0.75) for phrase, label in licenses.BASE.items()]
+
+
+@query("op1_license_scan", rf"""
+WITH rules(rule, label, keyword, pattern, certainty) AS (VALUES {_rows(licenses.RULES)}),
+base_rules(rule, label, keyword, pattern, certainty) AS (VALUES {_rows(BASE_RULES)}),
+inner_words AS (
+    SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')) AS w FROM documents),
+spaced AS (SELECT doc_id, CASE WHEN w = '' THEN '' ELSE ' ' || w || ' ' END AS s FROM inner_words),
+base AS ({_found("base_rules")}),
+found AS ({_found("rules")}),
+swept AS (
+    SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM found),
+outermost AS (SELECT * FROM swept WHERE reach IS NULL OR stop > reach),
+per_base AS (
+    SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+           array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM base GROUP BY doc_id),
+per_all AS (
+    SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(certainty) AS score
+    FROM (SELECT doc_id, label, certainty FROM base UNION ALL SELECT doc_id, label, certainty FROM outermost) GROUP BY doc_id),
+per_kept AS (SELECT doc_id, count(*) AS n_detections FROM outermost GROUP BY doc_id)
+SELECT s.doc_id, ((length(s) - length(replace(s, ' ', ''))) // 2)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score, coalesce(n_detections, 0) AS n_detections
+FROM spaced s LEFT JOIN per_base USING (doc_id) LEFT JOIN per_all USING (doc_id) LEFT JOIN per_kept USING (doc_id)
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_detections", F.size("detections").cast("long")).drop("detections")
+
+
 @query("op2_near_dedup", r"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
