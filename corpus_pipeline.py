@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import exact_dedup, mixing, packing
+from vitrine.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from vitrine.llm.common import table
 from vitrine.llm.queries import tokenizer_file
 from vitrine.session import scratch_folder
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain model, fitted on the labelled ones among them, predicts to be toxic go."""
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return exact_dedup.drop_exact_copies(docs, keep="largest")
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the row with the smallest id stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources meet their target weights."""
     return mixing.emit_mix(docs)
@@ -27,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact_dedup", exact), ("mix_sources", mix), ("best_fit_packing", pack),
+    ("toxicity", clean), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("best_fit_packing", pack),
 ]
 
 #: The learned stages have no SQL form; tests/llm holds the whole run against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, licenses, mixing, near_dedup, packing, sharding, token_counts
+from vitrine.llm import exact_dedup, licenses, mixing, near_dedup, packing, sharding, token_counts, toxicity
 from vitrine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_histogram_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
