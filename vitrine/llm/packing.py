@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.arrow import text_slices
+from vitrine.llm.arrow import gather, lengths_to_starts, text_slices
 from vitrine.llm.common import positions
 from vitrine.session import cut_lineage
 
@@ -88,17 +88,6 @@ class WordIds:
             yield everything[bounds[i]:bounds[i + 1]] if fast else self.whole(texts[i].as_py())
 
 
-def lengths_to_starts(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-
-
-def gather(starts: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lists at[0], at[1], ... one after the other; list k is flat[starts[k]:starts[k + 1]]. Gives their starts and values."""
-    lengths = (starts[1:] - starts[:-1])[at]
-    until = lengths_to_starts(lengths)
-    return until, flat[np.repeat(starts[at] - until[:-1], lengths) + np.arange(until[-1])]
-
-
 def document_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Per piece: ``doc_id, row, piece, start, length, ids_crc32``. ``row`` tells repeated rows apart."""
 

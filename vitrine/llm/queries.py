@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, licenses, mixing, near_dedup, packing, sharding, token_counts, toxicity
+from vitrine.llm import exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, resampling, sharding, token_counts, toxicity
 from vitrine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model)
     return scored.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+@query("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op3_importance_resampling")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
