@@ -102,7 +102,12 @@ def _(t):
     return D.dominant_styles(t.products).select("brand_id", joined(F.col("dominant_styles")).alias("styles"))
 
 
-@query("brand_rails")
+@query("brand_rails", f"""WITH {GEM_SQL}, {BRAND_SQL},
+    en AS (SELECT brand_id, gem_score, niche_factor, round_even(fr, 4) AS fr, round_even(en, 4) AS en, round_even(d, 4) AS d, md5('guest-1' || brand_id) AS turn FROM bg WHERE eligible_product_count >= 2),
+    em AS (SELECT brand_id, CAST(row_number() OVER (ORDER BY gem_score DESC, fr DESC, turn) AS INT) AS position FROM en WHERE gem_score >= 60),
+    tr AS (SELECT brand_id, CAST(row_number() OVER (ORDER BY round_even(fr * 0.35 + en * 0.25 + d * 0.25 + CASE WHEN coalesce(niche_factor, 0) = 0 THEN 0.5 ELSE niche_factor END * 0.15, 9) DESC, turn) AS INT) AS position
+        FROM en WHERE brand_id NOT IN (SELECT brand_id FROM em WHERE position <= {D.BRAND_RAIL_SIZE}))
+    SELECT 'emerging' AS rail, * FROM em WHERE position <= {D.BRAND_RAIL_SIZE} UNION ALL SELECT 'trending', * FROM tr WHERE position <= {D.BRAND_RAIL_SIZE}""")
 def _(t):
     return D.brand_rails(D.brand_gem_scores(t.brands, scored(t)), seed="guest-1")
 

@@ -106,14 +106,17 @@ def _(t):
     return S.read_ingestion_audit(t.spark, path)
 
 
-@query("append_search_log")
+@query("append_search_log", """
+    SELECT 1706745600.0::DOUBLE AS ts, substr(trim(query), 1, 200) AS query, CAST(coalesce(n, 0) AS INT) AS result_count, 12.3::DOUBLE AS latency_ms, FALSE AS cache_hit
+    FROM search_queries LEFT JOIN (SELECT qid, count(*) AS n FROM runs GROUP BY 1) USING (qid) WHERE query IS NOT NULL""")
 def _(t):
     path = scratch_folder(t.spark, "search-log")
     S.append_json(S.search_log_rows(t.runs, t.search_queries, 1706745600.0, 12.34), path)
     return S.read_search_log(t.spark, path)
 
 
-@query("read_search_log")
+@query("read_search_log", """
+    SELECT floor(epoch(ts))::DOUBLE AS ts, query, CAST(result_count AS INT) AS result_count, CAST(latency_ms AS DOUBLE) AS latency_ms, cache_hit FROM search_log WHERE query IS NOT NULL""")
 def _(t):
     path = scratch_folder(t.spark, "log")
     rows = t.search_log.select(F.unix_timestamp("ts").cast("double").alias("ts"), "query", "result_count", "latency_ms", "cache_hit")

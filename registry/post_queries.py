@@ -32,7 +32,7 @@ def _(t):
                           P.normalize_username(F.col("brand_name")).alias("username"))
 
 
-IDENTITY_INPUT = """CASE doc_id % 7 WHEN 0 THEN 'https://www.instagram.com/kaya_wear/?hl=en' WHEN 1 THEN 'https://instagram.com/p/abc'
+IDENTITY_INPUT = """CASE doc_id % 7 WHEN 0 THEN 'https://www.instagram.com/mira_threads/?hl=en' WHEN 1 THEN 'https://instagram.com/p/abc'
     WHEN 2 THEN '@Linen.House' WHEN 3 THEN product_url WHEN 4 THEN 'two words' WHEN 5 THEN '' ELSE brand_name END"""
 
 

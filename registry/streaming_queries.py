@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from registry import views
 from registry.core import Tables, query
+from registry.ingest_queries import KEYED
 
 from vitrine.session import scratch_folder
 from vitrine.streaming import jobs as J
@@ -52,7 +53,9 @@ def _(t):
     return rows.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "searches", "zero_results", F.bround("cache_hit_rate", 6).alias("cache_hit_rate"))
 
 
-@query("stream_dedupe_posts")
+@query("stream_dedupe_posts", f"""
+    WITH {KEYED}, k AS (SELECT coalesce(k_id, k_url) AS post_key FROM pk)
+    SELECT DISTINCT post_key FROM k WHERE post_key IS NOT NULL UNION ALL SELECT post_key FROM k WHERE post_key IS NULL""")
 def _(t):
     return finished(t, J.dedupe_stream(stream_view(t, "posts", "documents")).select("doc_id", "post_key"), "posts").select("post_key")
 
@@ -63,5 +66,7 @@ def _(t):
     paths = {n: f"{base}/{n}" for n in ("snapshots", "audit", "failures", "brands")}
     t.brands.write.mode("overwrite").parquet(paths["brands"])
     job = J.ingest_stream(stream_view(t, "posts", "documents"), paths, f"{base}/state", t.categories, FASHION, FASHION_WORDS, t.now, "doc_id")
-    job.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{paths['snapshots']}/0").select("product_url", "product_name", "price", "normalized_subcategory")
+    run = job.trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = max(p["batchId"] for p in run.recentProgress if p["numInputRows"])
+    return t.spark.read.parquet(f"{paths['snapshots']}/{last}").select("product_url", "product_name", "price", "normalized_subcategory")

@@ -15,21 +15,21 @@ BASE_TABLES = (
 
 CAPTIONS = (
     "Red silk dress for women Rs. 2,499 /- onwards. Shop now",
-    "Photo by linen.house on Instagram: Oversized linen shirt. ₹1,899",
+    "Photo by linen.barn on Instagram: Oversized linen shirt. ₹1,899",
     "Minimal analog watch in black, INR 4500. Order today",
     "Silver hoop earrings and a gold ring for women! #jewellery #party",
     "Men's straight leg jeans in blue denim 2.5k",
     "Giveaway winner announced behind the scenes",
     "Graphic tee, streetwear, size M available",
-    "New drop launching soon @studio.nine",
+    "New drop launching soon @paper.moth",
     "Embroidered kurti for women with floral print, festive wedding wear",
     "Hiring a store manager, quote of the day",
     "Unisex hoodie oversized beige cotton",
     "May be an image of tunic, dress",
     "Tote bag and sling bag in leather, everyday work bag",
     "What should we wear to a date night?",
-    "1,204 likes, 33 comments - bowberry.in",
-    "CottonComfort IndianWear SummerStyle",
+    "1,204 likes, 33 comments - quillhaven.in",
+    "VelvetBreeze CoastalWear AutumnTones",
     "White sneakers for men, relaxed sporty fit rs 3k",
     "Handmade ceramic lamp, home decor vase",
     "Black blazer for women, formal wear collection",
@@ -41,7 +41,7 @@ CAPTIONS = (
 )
 SLUGS = ("women-dresses", "men-shirts", "accessories-jewellery", "women-kurtis", "unisex-hoodies", "women-jeans",
          "watches-minimal", "home-decor", "women-tops", "men-jeans", "accessories-bags", "uncategorized")
-HANDLES = ("bellamar.label", "@Studio  Nine", "_didije_", "bowberry.in", "Fashion Capital", "linen.house", "", "kaya_wear")
+HANDLES = ("ferngrove.label", "@Paper  Moth", "_sunloom_", "quillhaven.in", "Fashion Capital", "linen.barn", "", "mira_threads")
 
 
 

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from registry import hardware as H
 from registry.core import Tables
+from vitrine import session
+from vitrine.operators import activity as A
 from vitrine.operators import discovery as D
 from vitrine.operators import evaluation as E
 from vitrine.operators import quality as Q
-from vitrine.operators.sizes import skew_safe_join
+from vitrine.operators import retrieval as V
 from vitrine.operators import sizes
+from vitrine.operators.sizes import skew_safe_join
+from vitrine.operators.topk import nearest_prototype
 from vitrine.plans import ingest as I
 from vitrine.sources import files as S
+from vitrine.streaming import jobs as J
 
 
 def test_metrics_by_hand(spark):
@@ -162,3 +167,56 @@ def test_cyclic_category_tree_ends(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3)], "id long, parent_id long")
     pairs = {(r["root_id"], r["id"]) for r in category_closure(tree).collect()}
     assert pairs == {(1, 1), (1, 2), (2, 2), (3, 3), (3, 4), (4, 4), (4, 3)}
+
+
+def test_exact_types_are_not_cut_short_by_many_retrieved_rows(spark):
+    """Retrieval returned the first 300 products of the type; the next 100 are still found."""
+    rows = [(f"{i:04d}", f"steel ring {i}") for i in range(500)]
+    products = spark.createDataFrame(rows, "id string, product_name string").selectExpr(
+        "id", "product_name", *[f"CAST(NULL AS STRING) AS {c}" for c in (
+            "item_name", "description", "subcategory", "normalized_main_category", "normalized_subcategory", "audience", "catalog_status")],
+        "CAST(NULL AS STRUCT<colour: STRING, color: STRING, style: ARRAY<STRING>, fit: STRING>) AS metadata")
+    queries = spark.createDataFrame([("q", "ring"), ("other", "ring")], "qid string, product_type string")
+    retrieved = spark.createDataFrame([("q", i) for i, _ in rows[:300]], "qid string, id string")
+    got = V.exact_type_products(queries, products, retrieved, H.HARDWARE).orderBy("qid", "rank").collect()
+    assert [r["id"] for r in got if r["qid"] == "q"] == [i for i, _ in rows[300:400]]
+    assert [r["id"] for r in got if r["qid"] == "other"] == [i for i, _ in rows[:100]]
+
+
+def test_search_log_is_read_whole_by_default(spark, tmp_path):
+    spark.range(25_000).selectExpr("CAST(id AS DOUBLE) AS ts", "'x' AS query").write.json(str(tmp_path / "log"))
+    assert S.read_search_log(spark, str(tmp_path / "log")).count() == 25_000
+    assert [r["ts"] for r in S.read_search_log(spark, str(tmp_path / "log"), keep=2).collect()] == [24_999.0, 24_998.0]
+
+
+def test_similar_brands_and_prototypes_in_blocks(spark):
+    t = Tables(spark, SMALL)
+    whole = sorted(map(tuple, A.similar_brands(t.brands, t.brands, t.products).collect()))
+    assert sorted(map(tuple, A.similar_brands(t.brands, t.brands, t.products, block=7).collect())) == whole
+    rng = random.Random(1)
+    vectors = lambda n, kind: [(f"{kind}{i:02d}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(n)]
+    items, protos = spark.createDataFrame(vectors(50, "i"), "id string, embedding array<double>"), spark.createDataFrame(vectors(40, "p"), "label string, embedding array<double>")
+    assert sorted(map(tuple, nearest_prototype(items, protos, block=10).collect())) == sorted(map(tuple, nearest_prototype(items, protos).collect()))
+
+
+def test_posts_without_identity_pass_the_stream_dedupe(spark, tmp_path):
+    columns = ("instagram_post_id", "product_url", "image_url", "brand_name")
+    rows = [("a", "u1"), ("a", "u2"), (None, None), (None, None), ("b", None)]
+    df = spark.createDataFrame([(i, u, None, None) for i, u in rows], ", ".join(f"{c} string" for c in columns)).withColumn("scraped_at", F.timestamp_seconds(F.lit(1)))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run = J.dedupe_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r["post_key"] or "" for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["", "", "a", "b"]
+
+
+def test_no_temporary_folder_off_a_local_master(spark, monkeypatch):
+    class Elsewhere:
+        master = "spark://cluster:7077"
+
+    class Session:
+        sparkContext = Elsewhere()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())

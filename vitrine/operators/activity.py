@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from vitrine.functions import text as X
 from vitrine.functions.text import any_of, or_else
 from vitrine.operators.discovery import nearest_ranks
 from vitrine.operators.filters import is_not_non_product
-from vitrine.operators.sizes import at_most
 from vitrine.operators.topk import BestPerQuery
+from vitrine.session import cut_lineage
 
 # The outcome classes, review thresholds and candidate words.
 SUCCESS_OUTCOMES, FAILURE_OUTCOMES = ("INSERTED", "UPDATED"), ("FAILED_IMAGE",)
@@ -106,16 +107,25 @@ def similar_brands(targets: DataFrame, brands: DataFrame, products: DataFrame, l
     """(target_id, brand_id, similarity_score, position) for a batch of target brands.
 
     .65 x products in the target's categories per target category + .35 x closeness of the mean niche score.
-    Each task scores its brands against the whole batch with one sparse product and keeps ``limit`` per
-    target, so brand pairs are never materialised. A batch holds at most ``block`` targets.
+    Each task scores its brands against a block of targets with one sparse product and keeps ``limit`` per
+    target, so brand pairs are never materialised. Any number of targets is taken, in blocks of about ``block``.
     """
-    if not at_most(targets, block):
-        raise ValueError(f"at most {block} target brands per batch; split the targets")
     cells = products.where("brand_id IS NOT NULL").groupBy("brand_id", "category_id").agg(F.count("*").alias("n"), F.sum(or_else(F.col("niche_score"), 0.0)).alias("s"))
     stats = cells.groupBy("brand_id").agg(
         F.collect_list(F.when(F.col("category_id").isNotNull(), F.struct("category_id", "n"))).alias("cats"),
         F.bround(F.sum("s") / F.sum("n"), 12).alias("niche"))
-    asked = stats.join(targets.select(F.col("id").alias("brand_id")).distinct(), "brand_id", "left_semi").orderBy("brand_id").collect()
+    asked = targets.select(F.col("id").alias("brand_id")).distinct()
+    blocks = max(1, -(-asked.count() // block))
+    if blocks > 1:
+        stats = cut_lineage(stats)
+    parts = [_similar_to(stats, asked.where(F.pmod(F.xxhash64("brand_id"), F.lit(blocks)) == n), limit) for n in range(blocks)]
+    spot = Window.partitionBy("target_id").orderBy(F.desc("similarity_score"), "brand_id")
+    return reduce(DataFrame.unionByName, parts).withColumn("position", F.row_number().over(spot)).where(F.col("position") <= limit)
+
+
+def _similar_to(stats: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """(target_id, brand_id, similarity_score): each task's best brands for one block of targets."""
+    asked = stats.join(targets, "brand_id", "left_semi").orderBy("brand_id").collect()
     columns = {c: i for i, c in enumerate(sorted({c["category_id"] for r in asked for c in r["cats"]}))}
     share = np.zeros((len(asked), max(1, len(columns))))
     for row, r in enumerate(asked):
@@ -123,7 +133,7 @@ def similar_brands(targets: DataFrame, brands: DataFrame, products: DataFrame, l
             share[row, columns[c["category_id"]]] = 1.0 / len(r["cats"])
     ids = np.asarray([r["brand_id"] for r in asked], dtype="U")
     means = np.asarray([r["niche"] for r in asked], dtype=float)
-    shared = products.sparkSession.sparkContext.broadcast((columns, share, ids, means))
+    shared = stats.sparkSession.sparkContext.broadcast((columns, share, ids, means))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, weights, targets_, niches = shared.value
@@ -145,9 +155,7 @@ def similar_brands(targets: DataFrame, brands: DataFrame, products: DataFrame, l
             found = best.batch(targets_)
             yield pa.RecordBatch.from_arrays(found.columns, names=["target_id", "brand_id", "similarity_score"])
 
-    partial = stats.mapInArrow(score, "target_id string, brand_id string, similarity_score double")
-    spot = Window.partitionBy("target_id").orderBy(F.desc("similarity_score"), "brand_id")
-    return partial.withColumn("position", F.row_number().over(spot)).where(F.col("position") <= limit)
+    return stats.mapInArrow(score, "target_id string, brand_id string, similarity_score double")
 
 
 # ---------------------------------------------------------------- user activity

@@ -200,7 +200,7 @@ def brand_gem_scores(brands: DataFrame, scored: DataFrame) -> DataFrame:
 def brand_rails(scored_brands: DataFrame, *, seed: str = "", size: int = BRAND_RAIL_SIZE) -> DataFrame:
     """(rail, brand_id, position): emerging brands by gem score, then trending ones among the rest."""
     c = F.col
-    turn = F.xxhash64(F.lit(seed), c("brand_id"))
+    turn = F.md5(F.concat(F.lit(seed), c("brand_id")))
     enough = scored_brands.where("eligible_product_count >= 2")
 
     def top(df: DataFrame, rail: str, *order: Column) -> DataFrame:

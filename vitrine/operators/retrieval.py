@@ -56,20 +56,23 @@ def match_brands(queries: DataFrame, brand_images: DataFrame, *, threshold: floa
 
 
 def exact_type_products(queries: DataFrame, products: DataFrame, retrieved: DataFrame, taxonomy: Taxonomy, *,
-                        limit: int = EXACT_TYPE_ROWS, retrieved_limit: int = RETRIEVER_CANDIDATES * 2) -> DataFrame:
+                        limit: int = EXACT_TYPE_ROWS) -> DataFrame:
     """(qid, id, rank): up to ``limit`` products of the requested type that retrieval did not return.
 
-    ``queries`` carry product_type. A query leaves out at most ``retrieved_limit`` products, so only the
-    first limit + retrieved_limit products of a type can be needed; the others are cut once per type
-    instead of once per query, before the join.
+    ``queries`` carry product_type. A query leaves out at most as many products as retrieval returned to it, so only the
+    first limit + (most rows retrieved for a query of the type) products of a type can be needed. The others are cut
+    once per type instead of once per query, before the join.
     """
     requested = queries.where("product_type IS NOT NULL").select("qid", "product_type")
     kept = products.where(is_not_non_product(F.col("catalog_status")))
     if "category" not in kept.columns:
         kept = kept.withColumn("category", F.lit(""))
     typed = kept.select("id", F.explode(matched_types(product_search_text(kept), taxonomy)).alias("product_type"))
+    counts = retrieved.groupBy("qid").agg(F.count("*").alias("_r"))
+    most = requested.join(counts, "qid", "left").groupBy("product_type").agg((F.coalesce(F.max("_r"), F.lit(0)) + limit).alias("_most"))
     spot = Window.partitionBy("product_type").orderBy("id")
-    shortlist = typed.withColumn("_n", F.row_number().over(spot)).where(F.col("_n") <= limit + retrieved_limit).drop("_n")
+    ranked = typed.join(F.broadcast(most), "product_type").withColumn("_n", F.row_number().over(spot))  # one row per taxonomy type
+    shortlist = ranked.where(F.col("_n") <= F.col("_most")).drop("_n", "_most")
     pairs = requested.join(shortlist, "product_type").join(retrieved.select("qid", "id"), ["qid", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("id"))
     return pairs.select("qid", "id").withColumn("rank", rank).where(F.col("rank") <= limit)

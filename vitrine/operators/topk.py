@@ -9,6 +9,7 @@ partitioning or on the order of additions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -207,10 +208,20 @@ def approximate_topk(queries: DataFrame, items: DataFrame, k: int, *, dim: int,
     return best_per_query(block_topk(probed, stored, k, exclude_self=exclude_self), k)
 
 
-def nearest_prototype(products: DataFrame, prototypes: DataFrame, max_prototypes: int = 10_000) -> DataFrame:
-    """(id, label, similarity): the most similar class prototype of each product; ties take the first label."""
-    if not at_most(prototypes, max_prototypes):
-        raise ValueError(f"more than {max_prototypes} class prototypes")
+def nearest_prototype(products: DataFrame, prototypes: DataFrame, block: int = 10_000) -> DataFrame:
+    """(id, label, similarity): the most similar class prototype of each product; ties take the first label.
+
+    Any number of prototypes is taken, in blocks of about ``block`` that fit a broadcast.
+    """
+    blocks = max(1, -(-prototypes.count() // block))
+    if blocks == 1:
+        return _nearest_of(products, prototypes)
+    parts = [_nearest_of(products, prototypes.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == n)) for n in range(blocks)]
+    found = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "label")).alias("best"))
+    return found.select("id", F.col("best.label").alias("label"), (-F.col("best.s")).alias("similarity"))
+
+
+def _nearest_of(products: DataFrame, prototypes: DataFrame) -> DataFrame:
     table = prototypes.select(F.col("label").cast("string"), "embedding").orderBy("label").toArrow()
     if table.num_rows == 0:
         raise ValueError("at least one prototype is required")

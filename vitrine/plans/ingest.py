@@ -48,7 +48,7 @@ def dedupe_posts(posts: DataFrame, order_col: str) -> DataFrame:
     return kept.drop(*KEYS, *[f"_{k}" for k in KEYS])
 
 
-def dedupe_posts_exact(posts: DataFrame, order_col: str, max_rounds: int = 100) -> DataFrame:
+def dedupe_posts_exact(posts: DataFrame, order_col: str) -> DataFrame:
     """The sequential rule: a dropped post claims no keys, so a later post may be kept again.
 
     Each round settles, for every key, its earliest undecided post: a post that is first for all its keys is
@@ -59,7 +59,7 @@ def dedupe_posts_exact(posts: DataFrame, order_col: str, max_rounds: int = 100)
         F.when(F.col(k).isNotNull(), F.concat_ws("=", F.lit(k), F.col(k))) for k in KEYS])).alias("keys"))
     open_keys = cut_lineage(keyed.select(F.col(order_col).alias("pos"), F.explode_outer("keys").alias("key")))
     kept = None
-    for _ in range(max_rounds):
+    while True:
         firsts = open_keys.groupBy("key").agg(F.min("pos").alias("first"))
         settled = open_keys.join(firsts, "key", "left").groupBy("pos").agg(
             F.min((F.col("key").isNull() | (F.col("pos") == F.col("first"))).cast("int")).alias("ok")).where("ok = 1").select("pos")
@@ -70,7 +70,6 @@ def dedupe_posts_exact(posts: DataFrame, order_col: str, max_rounds: int = 100)
         open_keys = cut_lineage(open_keys.join(gone, "pos", "left_anti"))
         if open_keys.isEmpty():
             return posts.join(kept.withColumnRenamed("pos", order_col), order_col, "left_semi")
-    raise RuntimeError(f"duplicate chains longer than {max_rounds} rounds")
 
 
 # ---------------------------------------------------------------- candidates

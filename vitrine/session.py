@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def local_session(app: str = "vitrine", cores: int | str = "*", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -33,20 +35,25 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder must survive the loss of an executor, so it is taken from the session. A temporary
-    folder is used only when nothing is configured, which is the case in local tests.
+    The folder must survive the loss of an executor, so it is taken from the session; see ``shared_folder``. Spark removes
+    a checkpoint once its table is gone, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vitrine-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a job's files under ``spark.checkpoint.dir``, or a local temporary one in tests."""
-    import uuid
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Without the setting, a temporary one, on a local master alone."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="vitrine-")
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrine-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a job's files in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

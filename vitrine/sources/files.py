@@ -14,7 +14,6 @@ from vitrine.functions.text import first_filled, or_else, strip
 BATCH_SOURCES = ("user_curated", "automatic_discovery", "inventory_gap", "manual_research")
 BATCH_STATUSES = ("pending", "approved", "ingested", "skipped", "failed", "review")
 REVIEWS = ("", "GOOD", "PARTIAL", "BAD")
-LOG_ROWS = 20_000
 BRAND_BATCH = "brand_name string, instagram_url string, instagram_handle string, category_hint string, priority string, source string, status string, notes string"
 SEARCH_LOG = "ts double, query string, result_count int, latency_ms double, cache_hit boolean"
 AUDIT = "timestamp string, batch string, brand string, post string, action string, outcome string, reason string"
@@ -64,9 +63,10 @@ def curated_brands(rows: DataFrame, order_col: str = "line") -> DataFrame:
     return last.select(name.alias("brand_name"), "instagram_username", "instagram_profile_url", F.lit(0).alias("followers"), niche_score(F.lit(0), name).alias("niche_score"), tag.alias("source_hashtag"))
 
 
-def read_search_log(spark: SparkSession, path: str, keep: int = LOG_ROWS) -> DataFrame:
-    """The latest rows of a search log; blank and corrupt lines are skipped."""
-    return spark.read.schema(SEARCH_LOG).json(path, mode="DROPMALFORMED").where("query IS NOT NULL").orderBy(F.desc("ts")).limit(keep)
+def read_search_log(spark: SparkSession, path: str, keep: int | None = None) -> DataFrame:
+    """All rows of a search log, or the latest ``keep``, newest first; blank and corrupt lines are skipped."""
+    rows = spark.read.schema(SEARCH_LOG).json(path, mode="DROPMALFORMED").where("query IS NOT NULL").orderBy(F.desc("ts"))
+    return rows if keep is None else rows.limit(keep)
 
 
 def read_ingestion_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -12,9 +12,10 @@ from vitrine.sources.files import audit_rows, failure_rows, upsert_products
 
 
 def dedupe_stream(posts: DataFrame, delay: str = "1 day", time_col: str = "scraped_at") -> DataFrame:
-    """Posts without repeats of the same post id (else URL) within the watermark."""
-    keyed = post_keys(posts).withColumn("post_key", F.coalesce("k_id", "k_url")).drop("k_id", "k_url", "k_image")
-    return keyed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["post_key"])
+    """Posts without repeats of the same post id (else URL) within the watermark. Posts with neither all pass."""
+    keyed = post_keys(posts).withColumn("post_key", F.coalesce("k_id", "k_url")).drop("k_id", "k_url", "k_image").withWatermark(time_col, delay)
+    named = keyed.where("post_key IS NOT NULL").dropDuplicatesWithinWatermark(["post_key"])
+    return named.unionByName(keyed.where("post_key IS NULL"))
 
 
 def engagement_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
