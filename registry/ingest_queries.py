@@ -131,16 +131,16 @@ def _(t):
     return S.search_evaluation_rows(discover(t), queries, HARDWARE, "good")
 
 
-UPSERT_IN = """inc AS (SELECT source, product_url, upper(product_name) AS product_name, NULL::DOUBLE AS price FROM products WHERE product_url IS NOT NULL AND product_url <> 'not a url' AND CAST(id AS INT) % 3 = 0
-      UNION ALL SELECT source, product_url || 'new', product_name, price FROM products WHERE product_url IS NOT NULL AND product_url <> 'not a url' AND CAST(id AS INT) % 50 = 0),
-    st AS (SELECT source, product_url, product_name, price, likes_count FROM products WHERE product_url IS NOT NULL AND product_url <> 'not a url')"""
+UPSERT_IN = """inc AS (SELECT 1 AS arrived, source, product_url, upper(product_name) AS product_name, NULL::DOUBLE AS price FROM products WHERE coalesce(product_url, '') <> 'not a url' AND CAST(id AS INT) % 3 = 0
+      UNION ALL SELECT 1, source, product_url || 'new', product_name, price FROM products WHERE coalesce(product_url, '') <> 'not a url' AND CAST(id AS INT) % 50 = 0),
+    st AS (SELECT 1 AS known, source, product_url, product_name, price, likes_count FROM products WHERE coalesce(product_url, '') <> 'not a url')"""
 
 
 @query("upsert_products", f"""
-    WITH {UPSERT_IN} SELECT source, product_url, CASE WHEN i.product_url IS NOT NULL THEN i.product_name ELSE s.product_name END AS product_name, CASE WHEN i.product_url IS NOT NULL THEN i.price ELSE s.price END AS price, s.likes_count,
-      CASE WHEN i.product_url IS NULL THEN 'KEPT' WHEN s.product_url IS NULL THEN 'INSERTED' ELSE 'UPDATED' END AS action FROM st s FULL JOIN inc i USING (source, product_url)""")
+    WITH {UPSERT_IN} SELECT source, product_url, CASE WHEN arrived = 1 THEN i.product_name ELSE s.product_name END AS product_name, CASE WHEN arrived = 1 THEN i.price ELSE s.price END AS price, s.likes_count,
+      CASE WHEN arrived IS NULL THEN 'KEPT' WHEN known IS NULL THEN 'INSERTED' ELSE 'UPDATED' END AS action FROM st s FULL JOIN inc i USING (source, product_url)""")
 def _(t):
-    valid = t.products.where("product_url IS NOT NULL AND product_url <> 'not a url'")
+    valid = t.products.where("coalesce(product_url, '') <> 'not a url'")
     stored = valid.select("source", "product_url", "product_name", "price", "likes_count")
     k = F.col("id").cast("int")
     changed = valid.where(k % 3 == 0).select("source", "product_url", F.upper("product_name").alias("product_name"), F.lit(None).cast("double").alias("price"))
@@ -231,13 +231,19 @@ def _(t):
     return I.parent_fallback(proposals, t.categories)
 
 
-@query("context_fingerprint", "SELECT id, CAST(id AS INT) % 2 = 0 AS cache_hit, TRUE AS hashed FROM products")
+PRINT_PARTS = (
+    "coalesce(nullif(product_name, ''), nullif(item_name, ''))", "brand_name", "coalesce(nullif(metadata.caption, ''), nullif(metadata.post_text, ''), nullif(description, ''))",
+    "source_hashtag", "metadata.alt_text", "CAST(price AS DECIMAL(18,4))", "category_id", "'v1'")
+
+
+@query("context_fingerprint", f"""
+    SELECT id, CAST(id AS INT) % 2 = 0 AS cache_hit, sha256(concat_ws(chr(31), {', '.join(f"coalesce(CAST({p} AS VARCHAR), chr(26))" for p in PRINT_PARTS)})) AS fingerprint FROM products""")
 def _(t):
     prints = I.context_fingerprint(t.products, "v1")
     changed = t.products.where("CAST(id AS INT) % 2 = 1").withColumn("price", F.coalesce("price", F.lit(0.0)) + 1)
     cached = I.context_fingerprint(t.products.where("CAST(id AS INT) % 2 = 0").unionByName(changed), "v1")
     rows = I.reuse_proposals(prints, cached)
-    return rows.select("id", "cache_hit", (F.length("fingerprint") == 64).alias("hashed"))
+    return rows.select("id", "cache_hit", "fingerprint")
 
 
 RECLASS = f"""{CLASSIFIED}, rc AS (SELECT cls.*, c.slug AS old_slug, n.id AS new_category_id, CASE WHEN cname = '' OR regexp_matches(cname, '{C.WEAK_NAME}') THEN {nouns_sql('txt')} END AS new_name FROM cls LEFT JOIN categories c ON c.id = cls.category_id LEFT JOIN categories n ON n.slug = cls.p_slug WHERE coalesce(classifier_confidence, 0) < 0.8),

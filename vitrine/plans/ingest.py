@@ -186,13 +186,16 @@ def parent_fallback(proposals: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def context_fingerprint(products: DataFrame, taxonomy_version: str) -> DataFrame:
-    """(id, fingerprint): sha256 over what a model would be shown and the taxonomy version."""
+    """(id, fingerprint): sha256 over what a model would be shown and the taxonomy version.
+
+    The parts are set apart by a unit separator; a missing part is a null sign, so it differs from an empty one.
+    """
     m = F.col("metadata")
-    context = F.struct(
-        X.first_filled(F.col("product_name"), F.col("item_name")).alias("product_name"), F.col("brand_name").alias("brand"),
-        X.first_filled(m["caption"], m["post_text"], F.col("description")).alias("caption"), F.col("source_hashtag").alias("hashtags"),
-        m["alt_text"].alias("alt_text"), F.col("price").alias("price"), F.col("category_id").alias("current_category"), F.lit(taxonomy_version).alias("taxonomy"))
-    return products.select("id", F.sha2(F.to_json(context), 256).alias("fingerprint"))
+    parts = [
+        X.first_filled(F.col("product_name"), F.col("item_name")), F.col("brand_name"), X.first_filled(m["caption"], m["post_text"], F.col("description")),
+        F.col("source_hashtag"), m["alt_text"], F.col("price").cast("decimal(18,4)"), F.col("category_id"), F.lit(taxonomy_version)]
+    context = F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x1a")) for p in parts])
+    return products.select("id", F.sha2(context, 256).alias("fingerprint"))
 
 
 def reuse_proposals(fingerprints: DataFrame, cached: DataFrame) -> DataFrame:
