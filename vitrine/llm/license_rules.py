@@ -99,10 +99,14 @@ NOTICE, TAG, BODY, VERSION, NAME = 1.0, 0.98, 0.95, 0.9, 0.75
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern over text in which each word stands between two blanks of its own."""
+    """A pattern over text in which each word stands between two blanks of its own.
+
+    Every match holds the word ``keyword`` and the words ``literal``, so a text without them needs no look at the pattern.
+    """
 
     label: str
     keyword: str
+    literal: str
     pattern: str
     certainty: float
 
@@ -111,6 +115,9 @@ def words(phrase: str) -> str:
     return "".join(f" {w} " for w in phrase.split())
 
 
+TAG_WORDS = words("spdx license identifier")
+
+
 def _versions(version: str) -> str:
     """3.0 is also written 3; 2.1 is not."""
     major, minor = version.split(".")
@@ -125,20 +132,20 @@ def build_rules() -> tuple[Rule, ...]:
     for label, keyword, family, numbers, spdx in VERSIONED:
         for number in sorted(numbers, reverse=True):
             for name in family:
-                versions.append(Rule(f"{label}-{number}", keyword, words(name) + filler + _versions(number), VERSION))
-                notices.append(Rule(f"{label}-{number}", keyword, lead + words(name) + filler + _versions(number), NOTICE))
+                versions.append(Rule(f"{label}-{number}", keyword, words(name), words(name) + filler + _versions(number), VERSION))
+                notices.append(Rule(f"{label}-{number}", keyword, words(name), lead + words(name) + filler + _versions(number), NOTICE))
             if spdx:
-                tags.append(Rule(f"{label}-{number}", "spdx", words("spdx license identifier") + words(spdx) + _versions(number) + "(?: only | or  later )?", TAG))
+                tags.append(Rule(f"{label}-{number}", "spdx", TAG_WORDS, TAG_WORDS + words(spdx) + _versions(number) + "(?: only | or  later )?", TAG))
         for name in family:
-            names.append(Rule(label, keyword, words(name), NAME))
+            names.append(Rule(label, keyword, words(name), words(name), NAME))
     for label, keyword, family, spdx in PLAIN:
         for name in family:
-            notices.append(Rule(label, keyword, lead + words(name), NOTICE))
-            names.append(Rule(label, keyword, words(name), NAME))
+            notices.append(Rule(label, keyword, words(name), lead + words(name), NOTICE))
+            names.append(Rule(label, keyword, words(name), words(name), NAME))
         if spdx:
-            tags.append(Rule(label, "spdx", words("spdx license identifier") + words(spdx), TAG))
+            tags.append(Rule(label, "spdx", TAG_WORDS, TAG_WORDS + words(spdx), TAG))
     for label, keyword, sentence in BODIES:
-        bodies.append(Rule(label, keyword, words(sentence), BODY))
+        bodies.append(Rule(label, keyword, words(sentence), words(sentence), BODY))
     return (*notices, *tags, *bodies, *versions, *names)
 
 

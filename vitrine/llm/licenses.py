@@ -34,10 +34,10 @@ def _count(spaced: str) -> str:
 def matches(spaced: str, rule: str) -> str:
     """SQL: word intervals of a rule's matches. One pass of the pattern marks them, words are counted between marks."""
     marked = rf"split(regexp_replace({spaced}, concat('(', {rule}.pattern, ')'), '\u0001$1\u0002'), '\u0001')"
-    return f"""aggregate(slice({marked}, 2, 1000000000),
-        struct({_count(f"split({spaced}, {rule}.pattern, 2)[0]")} AS at, cast(array() AS {DETECTION}) AS found),
-        (s, part) -> struct(s.at + {_count("part")} AS at, array_append(s.found, struct(
-            s.at AS start, s.at + {_count("split_part(part, chr(2), 1)")} AS stop, {rule}.rule AS rule, {rule}.label AS label, {rule}.certainty AS certainty)) AS found),
+    return f"""aggregate({marked}, struct(cast(NULL AS bigint) AS at, cast(array() AS {DETECTION}) AS found),
+        (s, part) -> CASE WHEN s.at IS NULL THEN struct({_count("part")} AS at, s.found AS found)
+            ELSE struct(s.at + {_count("part")} AS at, array_append(s.found, struct(
+                s.at AS start, s.at + {_count("split_part(part, chr(2), 1)")} AS stop, {rule}.rule AS rule, {rule}.label AS label, {rule}.certainty AS certainty)) AS found) END,
         s -> s.found)"""
 
 
@@ -53,7 +53,7 @@ def outermost(found: str) -> str:
         (s, d) -> CASE WHEN d.stop <= s.reach THEN s ELSE struct(d.stop AS reach, array_append(s.kept, d) AS kept) END, s -> s.kept)"""
 
 
-RULE = "rule int, label string, keyword string, pattern string, certainty double"
+RULE = "rule int, label string, keyword string, literal string, pattern string, certainty double"
 
 
 def rule_table(rows: list[tuple]) -> Column:
@@ -63,12 +63,12 @@ def rule_table(rows: list[tuple]) -> Column:
 
 
 def signature_table(rules: Sequence[Rule]) -> Column:
-    return rule_table([(n, r.label, r.keyword, r.pattern, r.certainty) for n, r in enumerate(rules)])
+    return rule_table([(n, r.label, r.keyword, r.literal, r.pattern, r.certainty) for n, r in enumerate(rules)])
 
 
 def base_table() -> Column:
     """A base phrase is gated by its own words."""
-    return rule_table([(n, label, words(phrase), words(phrase), 0.75) for n, (phrase, label) in enumerate(BASE.items())])
+    return rule_table([(n, label, phrase.split()[0], words(phrase), words(phrase), 0.75) for n, (phrase, label) in enumerate(BASE.items())])
 
 
 def scan_licenses(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -80,17 +80,21 @@ def scan_licenses(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     intervals. ``score`` is the highest certainty of a detection or base phrase, 0 without any. A null or empty text has
     no words, empty labels and score 0. Repeated rows are scanned each; a null id stays null. Only doc_id and text are read.
 
-    A rule's pattern runs only on texts that hold its keyword as a word, and a rule reads the whole text once.
+    A rule's pattern runs only on texts that hold its keyword as a word and its literal words, once over the whole text.
     """
     keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules} | {phrase.split()[0] for phrase in BASE})])
     split = docs.select("doc_id", F.explode(F.array(F.split(ascii_lower(whole_text()), BETWEEN))).alias("parts"))
     gated = split.select("doc_id", "parts", n_words(F.col("parts")).alias("n_words"), F.array_intersect("parts", keywords).alias("held"))
     some = F.size("held") > 0
+
+    def held(rule: Column) -> Column:
+        return F.array_contains(F.col("held"), rule["keyword"]) & F.contains(F.col("spaced"), rule["literal"])
+
     chosen = gated.select("doc_id", "n_words", F.explode(F.array(F.struct("held", F.when(some, spaced(F.col("parts"))).alias("spaced")))).alias("g"))
     chosen = chosen.select("doc_id", "n_words", "g.held", "g.spaced").select(
         "doc_id", "n_words", "spaced",
-        F.when(some, F.filter(signature_table(rules), lambda r: F.array_contains(F.col("held"), r["keyword"]))).alias("rules"),
-        F.when(some, F.filter(base_table(), lambda r: F.contains(F.col("spaced"), r["keyword"]))).alias("base"))
+        F.when(some, F.filter(signature_table(rules), held)).alias("rules"),
+        F.when(some, F.filter(base_table(), held)).alias("base"))
     none = f"cast(array() AS {DETECTION})"
     found = chosen.select(
         "doc_id", "n_words",

@@ -48,7 +48,7 @@ def _found(rules: str) -> str:
     WHERE i > 1"""
 
 
-BASE_RULES = [licenses.Rule(label, licenses.words(phrase)[1:-1], licenses.words(phrase), 0.75) for phrase, label in licenses.BASE.items()]
+BASE_RULES = [licenses.Rule(label, licenses.words(phrase)[1:-1], licenses.words(phrase), licenses.words(phrase), 0.75) for phrase, label in licenses.BASE.items()]
 
 
 @query("op1_license_scan", rf"""
