@@ -18,11 +18,11 @@ DIGEST_BYTES = 5
 class Chunker:
     """Chunks of ``least`` to ``most`` bytes. Up to ``normal`` bytes a boundary needs ``hard_bits`` zero bits, after that ``easy_bits``."""
 
-    least: int = 16
-    normal: int = 32
-    most: int = 128
-    hard_bits: int = 7
-    easy_bits: int = 4
+    least: int = 8
+    normal: int = 16
+    most: int = 64
+    hard_bits: int = 5
+    easy_bits: int = 3
     seed: int = 11
 
     def gear(self) -> np.ndarray:
