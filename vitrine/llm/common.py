@@ -71,15 +71,13 @@ def row_key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(1), *known).alias("_h1"), F.xxhash64(F.lit(2), *known).alias("_h2")]
 
 
-def keyed_rows(docs: DataFrame, *parts: Column) -> DataFrame:
-    """The given parts of each row with a key (_h1, _h2, _nth) that names the row, equal rows included."""
-    return docs.select(*row_key(docs), *parts).withColumn(
-        "_nth", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(0))))
+def repeat_rows(docs: DataFrame, times: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as ``times`` (_h1, _h2, n) says for all rows of a key together; others go.
 
-
-def whole_rows(docs: DataFrame) -> DataFrame:
-    """Each row as one struct ``doc`` under its key, so that no added column can clash with one of its own."""
-    return keyed_rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-
-
-ROW_KEY = ["_h1", "_h2", "_nth"]
+    A row travels once, as one struct, so that no added column can clash with one of its own. Rows with one key are
+    equal in all columns, and the first stands for them all.
+    """
+    whole = docs.select(*row_key(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    met = whole.join(times.select("_h1", "_h2", "n").where("n > 0"), ["_h1", "_h2"])
+    first = met.withColumn("nth", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(0)))).where("nth = 1")
+    return first.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))).select("doc.*")

@@ -11,12 +11,12 @@ from vitrine.session import cut_lineage
 def connected_components(edges: DataFrame, seed: int = 0) -> DataFrame:
     """From undirected edges (a, b) of longs, rows (id, component) for every id in an edge; component is its smallest id.
 
-    In a round every node joins the neighbour with the smallest hash, itself included, and edges are rewritten to those
-    names; edges inside a name go. Hash order shortens chains by a constant factor a round on average, where id order
+    In a round every node joins the neighbour with the smallest hash, itself included, and follows that one's choice too;
+    edges are rewritten to those names, and edges inside a name go. Hash order shortens chains by a constant factor a round on average, where id order
     could walk along them one by one. Minima are combined before each shuffle, so a node with any number of edges is one
     row per task. Only a count of edges reaches the driver.
     """
-    edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     names = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("name", F.col("id"))
     turn = 0
     while not edges.isEmpty():
@@ -24,11 +24,16 @@ def connected_components(edges: DataFrame, seed: int = 0) -> DataFrame:
             return F.struct(F.xxhash64(F.lit(seed + turn), F.col(c)).alias("rank"), F.col(c).alias("node"))
 
         both = edges.select("a", ranked("b").alias("to")).union(edges.select(F.col("b").alias("a"), ranked("a").alias("to")))
-        joined = both.groupBy("a").agg(F.min("to").alias("to"))
-        joined = cut_lineage(joined.select(F.col("a").alias("old"), F.least(F.col("to"), ranked("a"))["node"].alias("new")))
-        names = cut_lineage(names.join(joined, names["name"] == joined["old"], "left").select("id", F.coalesce("new", "name").alias("name")))
-        left = edges.join(joined.withColumnsRenamed({"old": "a", "new": "x"}), "a").join(joined.withColumnsRenamed({"old": "b", "new": "y"}), "b")
+        nearest = both.groupBy("a").agg(F.min("to").alias("to"))
+        joined = cut_lineage(nearest.select(F.col("a").alias("old"), F.least(F.col("to"), ranked("a"))["node"].alias("new")))
+        onward = joined.withColumnsRenamed({"old": "via", "new": "far"}).hint("merge")
+        joined = cut_lineage(joined.join(onward, joined["new"] == onward["via"]).select("old", F.col("far").alias("new")))
+        names = names.join(joined.hint("merge"), names["name"] == joined["old"], "left").select("id", F.coalesce("new", "name").alias("name"))
+        left = edges.join(joined.withColumnsRenamed({"old": "a", "new": "x"}).hint("merge"), "a").join(joined.withColumnsRenamed({"old": "b", "new": "y"}).hint("merge"), "b")
         edges = cut_lineage(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
+        if turn % 4 == 0:
+            names = cut_lineage(names)
+    names = cut_lineage(names)
     smallest = names.groupBy("name").agg(F.min("id").alias("component"))
-    return names.join(smallest, "name").select("id", "component")
+    return cut_lineage(names.join(smallest.hint("merge"), "name").select("id", "component"))

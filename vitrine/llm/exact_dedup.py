@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import ROW_KEY, ascii_lower, keyed_rows, whole_rows, whole_text, with_group_facts
+from vitrine.llm.common import ascii_lower, repeat_rows, row_key, whole_text, with_group_facts
 from vitrine.session import cut_lineage
 
 DIGEST = ["digest", "text_sha256", "n_bytes"]
@@ -69,9 +69,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The decisions are made on digests; the texts are dealt once, by row key, to meet them.
     """
     text = ascii_lower(whole_text(text_col))
-    rows = keyed_rows(
-        docs, F.col(id_col).alias("id"), F.spark_partition_id().cast("long").alias("run"),
-        F.xxhash64(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).alias("n_bytes"),
-    ).withColumn("nth", F.struct(*ROW_KEY))
-    kept = _decide(cut_lineage(rows), keep, fan_in).where(F.col("nth") == F.col("stays.nth")).select(*ROW_KEY)
-    return whole_rows(docs).join(kept, ROW_KEY, "left_semi").select("doc.*")
+    rows = docs.select(
+        *row_key(docs), F.col(id_col).alias("id"), F.spark_partition_id().cast("long").alias("run"), F.monotonically_increasing_id().alias("nth"), text.alias("text"),
+    ).select("_h1", "_h2", "id", "run", "nth", F.xxhash64("text").alias("digest"), F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes"))
+    kept = _decide(cut_lineage(rows), keep, fan_in).where(F.col("nth") == F.col("stays.nth"))
+    return repeat_rows(docs, kept.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n")))

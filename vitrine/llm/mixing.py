@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import ROW_KEY, WORD, keyed_rows, positions, whole_rows, whole_text
+from vitrine.llm.common import WORD, positions, repeat_rows, row_key, whole_text
 from vitrine.session import cut_lineage
 
 #: Weights of the sources by code point, repeating.
@@ -89,7 +89,6 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
 
 def emit_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every document as often as the plan takes it, with all its columns. Cases as in ``mix_sources``."""
-    sized = cut_lineage(keyed_rows(docs, F.col("doc_id").alias("id"), F.col("source").alias("source"), text_size().alias("size")))
-    plan = mixing_plan(sized, ["id", *ROW_KEY], weights, most, seed).where("copies > 0").select(*ROW_KEY, "copies")
-    taken = whole_rows(docs).join(plan, ROW_KEY)
-    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
+    sized = cut_lineage(docs.select(*row_key(docs), F.col("doc_id").alias("id"), F.col("source").alias("source"), text_size().alias("size")))
+    plan = mixing_plan(sized, ["id", "_h1", "_h2"], weights, most, seed)
+    return repeat_rows(docs, plan.groupBy("_h1", "_h2").agg(F.sum("copies").alias("n")))

@@ -1,4 +1,8 @@
-"""MinHash near-dedup with tensored banding."""
+"""MinHash near-dedup with tensored banding.
+
+Joins between tables that grow with the corpus are merge joins by hint: they split skewed keys, and the driver builds no
+broadcast for the many small tables of the last rounds.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.arrow import text_slices
-from vitrine.llm.common import ROW_KEY, keyed_rows, whole_rows, with_group_facts
+from vitrine.llm.common import repeat_rows, row_key, with_group_facts
 from vitrine.llm.components import connected_components
 from vitrine.llm.shingles import SHINGLE, MinHasher, WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
@@ -94,17 +98,17 @@ def shared_slots(classes: DataFrame, tensor: Tensor) -> DataFrame:
     """
     slots = classes.select("id", "size", "component", F.explode("slots").alias("s"))
     shared = slots.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("s")
-    met = slots.join(shared, "s", "left_semi").groupBy("id", "size", "component").agg(F.collect_list("s").alias("slots"))
+    met = slots.join(shared.hint("merge"), "s", "left_semi").groupBy("id", "size", "component").agg(F.collect_list("s").alias("slots"))
     return met.where(F.exists("slots", lambda s: s["slot"] < tensor.slots) & F.exists("slots", lambda s: s["slot"] >= tensor.slots))
 
 
 def cells_of(classes: DataFrame, tensor: Tensor, diagonal: bool) -> DataFrame:
-    """Rows (key, id, size, component): a class' cells in the tables on the tensor's diagonal, or in all others."""
+    """Rows (key, id, size, component): a class' cells in the tables on the tensor's diagonal, or in all of them."""
     left = classes.select("*", F.explode(F.filter("slots", lambda s: s["slot"] < tensor.slots)).alias("l"))
 
     def mate(right: Column) -> Column:
-        same = right["slot"] - tensor.slots == F.col("l.slot")
-        return (right["slot"] >= tensor.slots) & (same if diagonal else ~same)
+        mates = right["slot"] >= tensor.slots
+        return mates & (right["slot"] - tensor.slots == F.col("l.slot")) if diagonal else mates
 
     both = left.select("id", "size", "component", "l", F.explode(F.filter("slots", mate)).alias("r"))
     return both.select(F.xxhash64("l", "r").alias("key"), "id", "size", "component")
@@ -112,62 +116,69 @@ def cells_of(classes: DataFrame, tensor: Tensor, diagonal: bool) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``a`` may repeat without bound: it is met last, by a join that can split it."""
-    met = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "set_b"}), "b")
-    met = met.join(sets.withColumnsRenamed({"id": "a", "shingles": "set_a"}), "a")
+    met = pairs.join(sets.withColumnsRenamed({"id": "b", "shingles": "set_b"}).hint("merge"), "b")
+    met = met.join(sets.withColumnsRenamed({"id": "a", "shingles": "set_a"}).hint("merge"), "a")
     links = met.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     return links.where((100 + per_cent) * F.col("both") >= per_cent * F.col("sum")).select("a", "b")
 
 
-def compare_cells(cells: DataFrame, sets: DataFrame, per_cent: int, links: DataFrame | None) -> DataFrame | None:
-    """Add the verified links that connect what the links inside the cells' buckets would connect.
+def compare_cells(cells: DataFrame, sets: DataFrame, per_cent: int, pivots: int) -> tuple[DataFrame, DataFrame] | None:
+    """Verified links (pivot, other) of every bucket that spans components, and the cells left without them; None if there is no such bucket.
 
-    In a round every bucket takes pivots, by a hash of the id and so the same ones in all tables, compares them with its
-    members of other components, and drops them: all their links are then known. Components are merged between rounds,
-    and a bucket inside one component is done. The pivots grow fourfold a round, and a bucket with few members left takes
-    them all. So no link is lost, and a group of near copies costs a few comparisons for each copy.
+    A bucket has about ``pivots`` pivots, chosen by a hash of the id and so the same ones in all tables; one of few
+    members takes them all. They are compared with the bucket's members of other components, after which all their links
+    in it are known.
     """
-    pivots = 2
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(7), "id"), 11) / float(1 << 53)
     cells = cut_lineage(cells)
-    while True:
-        facts = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        crowded = cells.join(facts.where("c0 <> c1").select("key", "n"), "key")
-        crowded = cut_lineage(crowded.withColumn("pivot", (F.col("n") <= SMALL_BUCKET) | (uniform < pivots / F.col("n"))))
-        if crowded.isEmpty():
-            return links
-        a, b = crowded.where("pivot").alias("a"), crowded.alias("b")
-        apart = (F.col("a.component") != F.col("b.component")) & (~F.col("b.pivot") | (F.col("a.id") < F.col("b.id")))
-        near = 100 * F.least("a.size", "b.size") >= per_cent * F.greatest("a.size", "b.size")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        found = cut_lineage(verified(pairs, sets, per_cent))
-        links = found if links is None else links.union(found)
-        cells = crowded.where("NOT pivot").select("key", "id", "size", "component")
-        if cells.isEmpty():
-            return links
-        cells = cut_lineage(with_components(cells, links))
-        pivots *= 4
+    facts = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    crowded = cells.join(facts.where("c0 <> c1").select("key", "n").hint("merge"), "key")
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(7), "id"), 11) / float(1 << 53)
+    crowded = cut_lineage(crowded.withColumn("pivot", (F.col("n") <= SMALL_BUCKET) | (uniform < pivots / F.col("n"))))
+    if crowded.isEmpty():
+        return None
+    a, b = crowded.where("pivot").alias("a"), crowded.alias("b")
+    apart = (F.col("a.component") != F.col("b.component")) & (~F.col("b.pivot") | (F.col("a.id") < F.col("b.id")))
+    near = 100 * F.least("a.size", "b.size") >= per_cent * F.greatest("a.size", "b.size")
+    pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return cut_lineage(verified(pairs, sets, per_cent)), crowded.where("NOT pivot").select("key", "id", "size", "component")
 
 
-def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
-    named = connected_components(links).withColumnsRenamed({"component": "merged"})
-    return rows.drop("component").join(named, "id", "left").withColumn("component", F.coalesce("merged", "id")).drop("merged")
+def with_components(rows: DataFrame, named: DataFrame) -> DataFrame:
+    named = named.withColumnRenamed("component", "merged")
+    return rows.drop("component").join(named.hint("merge"), "id", "left").withColumn("component", F.coalesce("merged", "id")).drop("merged")
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, tensor: Tensor, width: int, per_cent: int) -> DataFrame:
-    """Verified links (a, b) between classes (id, doc, size, slots) that make their components.
+def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width: int, per_cent: int) -> DataFrame | None:
+    """Rows (id, component) for the classes (id, doc, size, slots) that have a link; None when no two can have one.
 
-    The tables on the tensor's diagonal come first; what they connect takes no part in the others, so that a large group
-    of near copies is keyed ``slots`` times and not ``slots`` squared times.
+    The tables on the tensor's diagonal come first, with few pivots. What they join to one pivot takes no part in the next
+    round, which keys all tables, so a large group of near copies is keyed ``slots`` times and not ``slots`` squared times and
+    costs a few comparisons for each copy. Pivots grow sixteenfold a round until no bucket spans components, so that every
+    link inside a bucket is either found or joins what is joined already.
     """
     numbered = F.transform("slots", lambda hash, at: F.struct(at.alias("slot"), hash.alias("hash")))
     alone = classes.select("id", "size", F.col("id").alias("component"), numbered.alias("slots"))
     shared = cut_lineage(shared_slots(alone, tensor))
-    wanted = classes.join(shared.select("id"), "id", "left_semi").select(F.col("doc").alias("doc_id"))
-    sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), width))
-    links = compare_cells(cells_of(shared, tensor, True), sets, per_cent, None)
-    if links is not None:
-        shared = cut_lineage(shared_slots(with_components(shared, links), tensor))
-    return compare_cells(cells_of(shared, tensor, False), sets, per_cent, links)
+    wanted = classes.join(shared.select("id").hint("merge"), "id", "left_semi").select(F.col("doc").alias("doc_id"))
+    sets = cut_lineage(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), width))
+    links = None
+    cells, pivots = cells_of(shared, tensor, True), 2
+    if (first := compare_cells(cells, sets, per_cent, pivots)) is not None:
+        links = first[0]
+        shared = shared_slots(with_components(shared, neighbourhoods(links)), tensor)
+    cells = cells_of(shared, tensor, False)
+    while True:
+        pivots *= 16
+        if (more := compare_cells(cells, sets, per_cent, pivots)) is None:
+            return None if links is None else connected_components(links)
+        found, rest = more
+        links = found if links is None else links.union(found)
+        cells = with_components(rest, neighbourhoods(links))
+
+
+def neighbourhoods(links: DataFrame) -> DataFrame:
+    """Rows (id, component): each id under the smallest pivot it is linked to. Parts of components, found in one step."""
+    return links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
 
 
 def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_cent: int) -> DataFrame:
@@ -176,15 +187,14 @@ def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_
     total = signed.count()
     classes = cut_lineage(signed.where("able").groupBy(F.col("class").alias("id")).agg(
         F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("slots").alias("slots")))
-    links = link_classes(classes, docs.select("doc_id", "text"), tensor, width, per_cent)
+    components = class_components(classes, docs.select("doc_id", "text"), tensor, width, per_cent)
     named = classes.select("id", "doc", "copies")
-    if links is None:
+    if components is None:
         named = named.withColumn("component_id", F.col("doc"))
     else:
         named = named.withColumn("component", F.col("id"))
-        named = cut_lineage(with_components(named, links))
-        smallest = named.groupBy("component").agg(F.min("doc").alias("least_doc"), F.count(F.lit(1)).alias("n_classes"))
-        named = with_group_facts(named, smallest, ["component"], "n_classes", total).withColumnRenamed("least_doc", "component_id")
+        named = cut_lineage(with_components(named, components))
+        named = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")).hint("merge"), "component")
     facts = named.select(F.col("id").alias("class"), F.col("doc").alias("class_id"), "copies", "component_id")
     rows = signed.select(*passed, "n_shingles", "class", "able")
     linked = with_group_facts(rows.where("able"), facts, ["class"], "copies", total).select(*passed, "n_shingles", "class_id", "component_id")
@@ -212,9 +222,8 @@ def drop_near_copies(docs: DataFrame, *, tensor: Tensor = Tensor(), width: int =
 
     Cases as in ``near_duplicates``; of rows repeated with that id one stays, and rows without words or id all stay.
     """
-    rows = cut_lineage(keyed_rows(docs, F.col("doc_id"), F.col("text")).select(*ROW_KEY, "doc_id", "text"))
-    out = cut_lineage(_decide(rows, [*ROW_KEY, "doc_id"], tensor, width, per_cent).where("doc_id = component_id OR component_id IS NULL"))
-    key = F.struct(*ROW_KEY)
-    firsts = out.where("class_id IS NOT NULL").groupBy("component_id").agg(F.min(key).alias("key")).select("key.*")
-    kept = firsts.unionByName(out.where("class_id IS NULL").select(*ROW_KEY))
-    return whole_rows(docs).join(kept, ROW_KEY, "left_semi").select("doc.*")
+    hashed = docs.select(*row_key(docs), F.col("doc_id"), F.col("text"))
+    out = cut_lineage(_decide(hashed, ["_h1", "_h2", "doc_id"], tensor, width, per_cent).where("doc_id = component_id OR component_id IS NULL"))
+    firsts = out.where("class_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("_h1", "_h2")).alias("key")).select("key.*", F.lit(1).cast("long").alias("n"))
+    alone = out.where("class_id IS NULL").groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n"))
+    return repeat_rows(docs, firsts.unionByName(alone))
