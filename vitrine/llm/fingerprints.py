@@ -55,7 +55,7 @@ def with_followers(docs: DataFrame) -> DataFrame:
         F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ghost")),
     )).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost"))))
     rows = marked.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.bucket", "c.ghost", "doc_id", "text")
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    return rows.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int")).sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
 
 
 def fingerprint_edits(docs: DataFrame, chunker: Chunker = Chunker()) -> DataFrame:
