@@ -118,6 +118,11 @@ def words(phrase: str) -> str:
 TAG_WORDS = words("spdx license identifier")
 
 
+def gate(keyword: str, name: str) -> str:
+    """The family's keyword where the name has it, else the name's longest word: every match must hold it."""
+    return keyword if keyword in name.split() else max(name.split(), key=len)
+
+
 def _versions(version: str) -> str:
     """3.0 is also written 3; 2.1 is not."""
     major, minor = version.split(".")
@@ -132,16 +137,16 @@ def build_rules() -> tuple[Rule, ...]:
     for label, keyword, family, numbers, spdx in VERSIONED:
         for number in sorted(numbers, reverse=True):
             for name in family:
-                versions.append(Rule(f"{label}-{number}", keyword, words(name), words(name) + filler + _versions(number), VERSION))
-                notices.append(Rule(f"{label}-{number}", keyword, words(name), lead + words(name) + filler + _versions(number), NOTICE))
+                versions.append(Rule(f"{label}-{number}", gate(keyword, name), words(name), words(name) + filler + _versions(number), VERSION))
+                notices.append(Rule(f"{label}-{number}", gate(keyword, name), words(name), lead + words(name) + filler + _versions(number), NOTICE))
             if spdx:
                 tags.append(Rule(f"{label}-{number}", "spdx", TAG_WORDS, TAG_WORDS + words(spdx) + _versions(number) + "(?: only | or  later )?", TAG))
         for name in family:
-            names.append(Rule(label, keyword, words(name), words(name), NAME))
+            names.append(Rule(label, gate(keyword, name), words(name), words(name), NAME))
     for label, keyword, family, spdx in PLAIN:
         for name in family:
-            notices.append(Rule(label, keyword, words(name), lead + words(name), NOTICE))
-            names.append(Rule(label, keyword, words(name), words(name), NAME))
+            notices.append(Rule(label, gate(keyword, name), words(name), lead + words(name), NOTICE))
+            names.append(Rule(label, gate(keyword, name), words(name), words(name), NAME))
         if spdx:
             tags.append(Rule(label, "spdx", TAG_WORDS, TAG_WORDS + words(spdx), TAG))
     for label, keyword, sentence in BODIES:
