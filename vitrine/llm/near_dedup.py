@@ -153,7 +153,7 @@ def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width:
 
     The tables on the tensor's diagonal come first, with few pivots. What they join to one pivot takes no part in the next
     round, which keys all tables, so a large group of near copies is keyed ``slots`` times and not ``slots`` squared times and
-    costs a few comparisons for each copy. Pivots grow sixteenfold a round until no bucket spans components, so that every
+    costs a few comparisons for each copy. Pivots grow fourfold a round until no bucket spans components, so that every
     link inside a bucket is either found or joins what is joined already.
     """
     numbered = F.transform("slots", lambda hash, at: F.struct(at.alias("slot"), hash.alias("hash")))
@@ -168,7 +168,7 @@ def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width:
         shared = shared_slots(with_components(shared, neighbourhoods(links)), tensor)
     cells = cells_of(shared, tensor, False)
     while True:
-        pivots *= 16
+        pivots *= 4
         if (more := compare_cells(cells, sets, per_cent, pivots)) is None:
             return None if links is None else connected_components(links)
         found, rest = more
