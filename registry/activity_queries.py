@@ -60,8 +60,7 @@ def _(t):
     WITH l AS (SELECT brand_id, max(coalesce(scraped_at, created_at)) AS last FROM products WHERE brand_id <> 'Brand#5' AND CAST(id AS INT) < 60 * CAST(regexp_extract(brand_id, '([0-9]+)', 1) AS INT) GROUP BY 1), a AS (SELECT b.id AS brand_id, b.instagram_username, l.last, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(l.last)) / 86400000000.0) AS BIGINT) AS age_days FROM brands b LEFT JOIN l ON l.brand_id = b.id)
     SELECT brand_id, instagram_username, age_days, CASE WHEN age_days IS NULL THEN 'NEVER_REFRESHED' ELSE 'STALE' END AS status FROM a WHERE age_days IS NULL OR age_days >= 70""")
 def _(t):
-    products = t.products.where("brand_id <> 'Brand#5' AND CAST(id AS INT) < 60 * CAST(regexp_extract(brand_id, '([0-9]+)', 1) AS INT)")
-    return A.stale_brands(t.brands, products, t.now, 70).select("brand_id", "instagram_username", "age_days", "status")
+    return A.stale_brands(t.brands, t.products, t.now, 70).select("brand_id", "instagram_username", "age_days", "status")
 
 
 @query("batch_quality", """
