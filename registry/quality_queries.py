@@ -95,8 +95,7 @@ def _(t):
     SELECT * EXCLUDE (failed), CASE WHEN failed AND product_count = 0 THEN 'FAILED' WHEN product_count = 0 THEN 'EMPTY' WHEN product_count >= 3 AND least(products_with_images, products_with_embeddings, products_with_categories) / product_count::DOUBLE * 100 >= 90
       AND average_catalog_quality_score >= 85 THEN 'HEALTHY' ELSE 'PARTIAL' END AS ingestion_health FROM r""")
 def _(t):
-    products = t.products.where("CAST(id AS INT) % 4 = 1 OR brand_id <> 'Brand#7'")
-    rows = Q.brand_health(t.brands, products, t.failures, DIM)
+    rows = Q.brand_health(t.brands, t.products, t.failures, DIM)
     return rows.withColumn("last_product_ingested_at", F.date_format("last_product_ingested_at", "yyyy-MM-dd HH:mm:ss"))
 
 

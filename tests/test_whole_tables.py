@@ -23,3 +23,12 @@ def test_stale_brands_reads_every_product(spark):
     want = {b: (age, "NEVER_REFRESHED" if age is None else "STALE") for b, age in ages.items() if age is None or age >= 70}
     assert "Brand#5" in last and want
     assert {r["brand_id"]: (r["age_days"], r["status"]) for r in QUERIES["stale_brands"](spark, SMALL).collect()} == want
+
+
+def test_brand_health_counts_every_product(spark):
+    groups = products_by_brand(spark, "category_id", "scraped_at", "created_at")
+    want = {r["id"]: (len(rows := groups[r["id"]]), sum(p["category_id"] is not None for p in rows),
+                      f"{max(p['scraped_at'] or p['created_at'] for p in rows):%Y-%m-%d %H:%M:%S}" if rows else None) for r in Tables(spark, SMALL).brands.collect()}
+    assert any(int(i) % 4 != 1 for i in [r["id"] for r in Tables(spark, SMALL).products.where("brand_id = 'Brand#7'").collect()])
+    got = QUERIES["brand_health"](spark, SMALL).collect()
+    assert {r["brand_id"]: (r["product_count"], r["products_with_categories"], r["last_product_ingested_at"]) for r in got} == want
