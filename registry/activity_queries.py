@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from registry import hardware as H
 from registry.core import NOW, query
+from registry.discovery_queries import scored
 from registry.hardware import lit, part
 from registry.scalar_queries import enriched, joined
 from vitrine.operators import activity as A
+from vitrine.operators import discovery as D
 from vitrine.session import scratch_folder
 from vitrine.sources.files import append_audit, read_ingestion_audit
 
@@ -116,11 +118,8 @@ def _(t):
     h AS (SELECT category, id, CAST(row_number() OVER (PARTITION BY category ORDER BY CAST(id AS BIGINT)) AS INT) AS position FROM e WHERE category IS NOT NULL), f AS (SELECT id, CAST(row_number() OVER (ORDER BY CAST(id AS BIGINT)) AS INT) AS position FROM products)
     SELECT l.user_id, l.label, h.id, h.position FROM l JOIN h ON h.category = l.label AND h.position <= 8 UNION ALL SELECT u.user_id, NULL, f.id, f.position FROM (SELECT DISTINCT user_id FROM interactions WHERE CAST(user_id AS INT) % 5 = 0) u, f WHERE f.position <= 8""")
 def _(t):
-    silent = F.col("user_id").cast("int") % 5 == 0
-    events = t.interactions.withColumn("product_id", F.when(silent, None).otherwise(F.col("product_id")))
-    first = t.products.select("id").orderBy(F.col("id").cast("long")).limit(8)
-    fallback = first.withColumn("position", F.row_number().over(A.Window.orderBy(F.col("id").cast("long"))))
-    return A.for_you_rail(events, enriched(t), fallback)
+    gems = D.diversify(D.rail_scores(scored(t)).where("rail = 'hidden_gems'"), 16, seed="guest-1")
+    return A.for_you_rail(t.interactions, enriched(t), gems)
 
 
 @query("list_brands", """
