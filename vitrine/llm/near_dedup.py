@@ -182,7 +182,10 @@ def neighbourhoods(links: DataFrame) -> DataFrame:
 
 
 def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_cent: int) -> DataFrame:
-    """The passed columns of every row with n_shingles, component_id and class_id (null where nothing can be linked)."""
+    """The passed columns of every row with n_shingles, component_id, and component and class_id (null where nothing can be linked).
+
+    ``component`` is the component itself, as one of its classes: two components have one component_id where an id repeats.
+    """
     signed = cut_lineage(signatures(docs, tensor, width, passed)).withColumn("able", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     total = signed.count()
     classes = cut_lineage(signed.where("able").groupBy(F.col("class").alias("id")).agg(
@@ -190,16 +193,16 @@ def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_
     components = class_components(classes, docs.select("doc_id", "text"), tensor, width, per_cent)
     named = classes.select("id", "doc", "copies")
     if components is None:
-        named = named.withColumn("component_id", F.col("doc"))
+        named = named.withColumns({"component": F.col("id"), "component_id": F.col("doc")})
     else:
         named = named.withColumn("component", F.col("id"))
         named = cut_lineage(with_components(named, components))
         named = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")).hint("merge"), "component")
-    facts = named.select(F.col("id").alias("class"), F.col("doc").alias("class_id"), "copies", "component_id")
+    facts = named.select(F.col("id").alias("class"), F.col("doc").alias("class_id"), "copies", "component", "component_id")
     rows = signed.select(*passed, "n_shingles", "class", "able")
-    linked = with_group_facts(rows.where("able"), facts, ["class"], "copies", total).select(*passed, "n_shingles", "class_id", "component_id")
+    linked = with_group_facts(rows.where("able"), facts, ["class"], "copies", total).select(*passed, "n_shingles", "class_id", "component", "component_id")
     kind = docs.schema["doc_id"].dataType
-    alone = rows.where("NOT able").select(*passed, "n_shingles", F.lit(None).cast(kind).alias("class_id"), F.col("doc_id").alias("component_id"))
+    alone = rows.where("NOT able").select(*passed, "n_shingles", F.lit(None).cast(kind).alias("class_id"), F.lit(None).cast(CLASS).alias("component"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
@@ -220,10 +223,11 @@ def near_duplicates(docs: DataFrame, *, tensor: Tensor = Tensor(), width: int =
 def drop_near_copies(docs: DataFrame, *, tensor: Tensor = Tensor(), width: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
     """The documents that stay, with all their columns: one row of each component, the one with its smallest id.
 
-    Cases as in ``near_duplicates``; of rows repeated with that id one stays, and rows without words or id all stay.
+    Cases as in ``near_duplicates``; of a component's rows repeated with that id one stays, and rows
+    without words or id all stay. Texts that are no near copies stay under a common id too.
     """
     hashed = docs.select(*row_key(docs), F.col("doc_id"), F.col("text"))
     out = cut_lineage(_decide(hashed, ["_h1", "_h2", "doc_id"], tensor, width, per_cent).where("doc_id = component_id OR component_id IS NULL"))
-    firsts = out.where("class_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("_h1", "_h2")).alias("key")).select("key.*", F.lit(1).cast("long").alias("n"))
+    firsts = out.where("class_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("_h1", "_h2")).alias("key")).select("key.*", F.lit(1).cast("long").alias("n"))
     alone = out.where("class_id IS NULL").groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n"))
     return repeat_rows(docs, firsts.unionByName(alone))
