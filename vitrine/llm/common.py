@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.session import cut_lineage
 
@@ -65,10 +66,24 @@ def with_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], siz
     return crowded.unionByName(rest)
 
 
+def _hashed(value: Column, kind: T.DataType, seed: int) -> list[Column]:
+    """What to hash of a value, so that unequal values give unequal lists: hashes skip nulls and run nested values together."""
+    null = value.isNull()
+    if isinstance(kind, T.StructType):
+        return [null, *[c for f in kind.fields for c in _hashed(value[f.name], f.dataType, seed)]]
+    if isinstance(kind, T.ArrayType):
+        return [null, F.size(value), F.transform(value, lambda x: F.xxhash64(F.lit(seed), *_hashed(x, kind.elementType, seed)))]
+    if isinstance(kind, T.MapType):
+        entry = T.StructType().add("key", kind.keyType).add("value", kind.valueType)
+        return [null, F.size(value), F.array_sort(F.transform(F.map_entries(value), lambda e: F.xxhash64(F.lit(seed), *_hashed(e, entry, seed))))]
+    if isinstance(kind, T.VariantType):
+        return [null, F.schema_of_variant(value), F.to_json(value)]
+    return [null] if isinstance(kind, T.NullType) else [null, value]
+
+
 def row_key(docs: DataFrame) -> list[Column]:
-    """Two independent hashes over all columns that can be hashed. Rows that agree in both are interchangeable."""
-    known = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return [F.xxhash64(F.lit(1), *known).alias("_h1"), F.xxhash64(F.lit(2), *known).alias("_h2")]
+    """Two hashes with different seeds over all columns, nulls and nested values included. Rows that agree in both are interchangeable."""
+    return [F.xxhash64(F.lit(seed), *[c for f in docs.schema.fields for c in _hashed(F.col(f"`{f.name}`"), f.dataType, seed)]).alias(f"_h{seed}") for seed in (1, 2)]
 
 
 def repeat_rows(docs: DataFrame, times: DataFrame) -> DataFrame:
