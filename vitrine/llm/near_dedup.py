@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.arrow import text_slices
 from vitrine.llm.common import repeat_rows, row_key, with_group_facts
-from vitrine.llm.components import connected_components
+from vitrine.llm.links import STAR_ROUNDS, merged, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import SHINGLE, MinHasher, WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
 
@@ -42,8 +42,6 @@ class Tensor:
 
 #: Similarity at which documents are linked, as per cent of the union of their shingles.
 PER_CENT = 85
-#: Buckets up to this size are compared in full, larger ones from pivots.
-SMALL_BUCKET = 8
 CLASS = "struct<a:bigint,b:bigint>"
 
 
@@ -97,7 +95,7 @@ def shared_slots(classes: DataFrame, tensor: Tensor) -> DataFrame:
     go here, before any table is keyed.
     """
     slots = classes.select("id", "size", "component", F.explode("slots").alias("s"))
-    shared = slots.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("s")
+    shared = slots.groupBy("s").agg(F.min("component.a").alias("c0"), F.max("component.a").alias("c1")).where("c0 <> c1").select("s")
     met = slots.join(shared.hint("merge"), "s", "left_semi").groupBy("id", "size", "component").agg(F.collect_list("s").alias("slots"))
     return met.where(F.exists("slots", lambda s: s["slot"] < tensor.slots) & F.exists("slots", lambda s: s["slot"] >= tensor.slots))
 
@@ -122,63 +120,34 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return links.where((100 + per_cent) * F.col("both") >= per_cent * F.col("sum")).select("a", "b")
 
 
-def compare_cells(cells: DataFrame, sets: DataFrame, per_cent: int, pivots: int) -> tuple[DataFrame, DataFrame] | None:
-    """Verified links (pivot, other) of every bucket that spans components, and the cells left without them; None if there is no such bucket.
-
-    A bucket has about ``pivots`` pivots, chosen by a hash of the id and so the same ones in all tables; one of few
-    members takes them all. They are compared with the bucket's members of other components, after which all their links
-    in it are known.
-    """
-    cells = cut_lineage(cells)
-    facts = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    crowded = cells.join(facts.where("c0 <> c1").select("key", "n").hint("merge"), "key")
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(7), "id"), 11) / float(1 << 53)
-    crowded = cut_lineage(crowded.withColumn("pivot", (F.col("n") <= SMALL_BUCKET) | (uniform < pivots / F.col("n"))))
-    if crowded.isEmpty():
-        return None
-    a, b = crowded.where("pivot").alias("a"), crowded.alias("b")
-    apart = (F.col("a.component") != F.col("b.component")) & (~F.col("b.pivot") | (F.col("a.id") < F.col("b.id")))
-    near = 100 * F.least("a.size", "b.size") >= per_cent * F.greatest("a.size", "b.size")
-    pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    return cut_lineage(verified(pairs, sets, per_cent)), crowded.where("NOT pivot").select("key", "id", "size", "component")
-
-
-def with_components(rows: DataFrame, named: DataFrame) -> DataFrame:
-    named = named.withColumnRenamed("component", "merged")
-    return rows.drop("component").join(named.hint("merge"), "id", "left").withColumn("component", F.coalesce("merged", "id")).drop("merged")
-
-
 def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width: int, per_cent: int) -> DataFrame | None:
     """Rows (id, component) for the classes (id, doc, size, slots) that have a link; None when no two can have one.
 
-    The tables on the tensor's diagonal come first, with few pivots. What they join to one pivot takes no part in the next
-    round, which keys all tables, so a large group of near copies is keyed ``slots`` times and not ``slots`` squared times and
-    costs a few comparisons for each copy. Pivots grow fourfold a round until no bucket spans components, so that every
-    link inside a bucket is either found or joins what is joined already.
+    The tables on the tensor's diagonal come first. What they join to a pivot is one component in the next rounds, which key
+    all tables, so a large group of near copies is keyed ``slots`` times and not ``slots`` squared times. A round compares the
+    members of a bucket with one pivot, at most one pair for each cell. Buckets that still span components after the rounds
+    give their members to a join on rare shingles, which finds every link between components that is left.
     """
     numbered = F.transform("slots", lambda hash, at: F.struct(at.alias("slot"), hash.alias("hash")))
     alone = classes.select("id", "size", F.col("id").alias("component"), numbered.alias("slots"))
     shared = cut_lineage(shared_slots(alone, tensor))
     wanted = classes.join(shared.select("id").hint("merge"), "id", "left_semi").select(F.col("doc").alias("doc_id"))
-    sets = cut_lineage(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), width))
-    links = None
-    cells, pivots = cells_of(shared, tensor, True), 2
-    if (first := compare_cells(cells, sets, per_cent, pivots)) is not None:
-        links = first[0]
-        shared = shared_slots(with_components(shared, neighbourhoods(links)), tensor)
+    sets = cut_lineage(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["id"]))
+    spanning = cut_lineage(spanning_cells(cells_of(shared, tensor, True)))
+    links = cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent))
+    shared = shared_slots(with_components(shared, neighbourhoods(links)), tensor)
     cells = cells_of(shared, tensor, False)
-    while True:
-        pivots *= 4
-        if (more := compare_cells(cells, sets, per_cent, pivots)) is None:
-            return None if links is None else connected_components(links)
-        found, rest = more
-        links = found if links is None else links.union(found)
-        cells = with_components(rest, neighbourhoods(links))
-
-
-def neighbourhoods(links: DataFrame) -> DataFrame:
-    """Rows (id, component): each id under the smallest pivot it is linked to. Parts of components, found in one step."""
-    return links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+    for _ in range(STAR_ROUNDS):
+        spanning = cut_lineage(spanning_cells(cells))
+        links = links.union(cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent)))
+        cells = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), neighbourhoods(links))
+    components = merged(None, links)
+    left = spanning.where("id <> pivot.id").select("key", "id", "size", F.col("id").alias("component"))
+    left = left if components is None else with_components(left, components)
+    crowded = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    rest = cut_lineage(left.join(crowded.hint("merge"), "key", "left_semi").select("id", "size", "component").distinct())
+    shingles = rest.join(sets.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
+    return merged(components, cut_lineage(verified(prefix_pairs(shingles, per_cent), sets, per_cent)))
 
 
 def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_cent: int) -> DataFrame:
