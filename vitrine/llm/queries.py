@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, resampling, sharding, token_counts, toxicity
+from vitrine.llm import (
+    exact_dedup, fingerprints, licenses, manifest, mixing, near_dedup, packing, ranked_search, resampling, sharding, token_counts, toxicity,
+    vertical_join,
+)
 from vitrine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +176,102 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_importance_resampling")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_ranked_search", r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (
+    SELECT item_id, term, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+whole AS (SELECT count(*) AS documents, sum(n)::BIGINT AS total FROM lengths),
+norms AS (SELECT doc_id, 100 - 75 + (75 * n * documents) // total AS m FROM lengths, whole),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), whole),
+scores AS (
+    SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _levels(name: str, start: str) -> str:
+    """SQL: the nodes of all levels of trees whose leaves ``start`` gives as (tree, idx, digest, n)."""
+    return f"""{name} AS (
+    SELECT tree, 0 AS level, idx, digest, n FROM {start}
+    UNION ALL
+    SELECT tree, any_value(level) + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 15) // 16) FROM {name} WHERE n > 1 GROUP BY tree, idx // 16)"""
+
+
+def _folds(name: str, start: str, nodes: str) -> str:
+    """SQL: leaves folded up to the tops of their trees, with their siblings; ``start`` gives (doc_id, tree, idx, node, proof)."""
+    return f"""{name}_runs AS (SELECT tree, level, idx // 16 AS up, string_agg(digest, '' ORDER BY idx) AS run FROM {nodes} WHERE n > 1 GROUP BY ALL),
+{name} AS (
+    SELECT doc_id, tree, 0 AS level, idx, node, proof FROM {start}
+    UNION ALL
+    SELECT doc_id, f.tree, f.level + 1, idx // 16, sha256(substr(run, 1, 64 * (idx % 16)) || node || substr(run, 64 * (idx % 16) + 65)),
+           proof || substr(run, 1, 64 * (idx % 16)) || substr(run, 64 * (idx % 16) + 65)
+    FROM {name} f JOIN {name}_runs r ON f.tree = r.tree AND f.level = r.level AND idx // 16 = up),
+{name}_tops AS (SELECT * FROM {name} QUALIFY level = max(level) OVER (PARTITION BY doc_id))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(f) for f in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE hashed AS (
+    SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf('text')} AS leaf,
+           {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS forged,
+           xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 5 = 0 AS tampered
+    FROM documents),
+leaves AS (
+    SELECT doc_id, tree, leaf AS digest, CASE WHEN tampered THEN forged ELSE leaf END AS offered,
+           row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+{_levels("nodes", "leaves")},
+subroots AS (SELECT tree AS source_tree, digest AS subroot, digest, '*' AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_levels("tops", "subroots")},
+inside AS (SELECT doc_id, tree, idx, offered AS node, '' AS proof FROM leaves),
+{_folds("below", "inside", "nodes")},
+outside AS (SELECT b.doc_id, '*' AS tree, s.idx, b.node, b.proof FROM below_tops b JOIN subroots s ON s.source_tree = b.tree),
+{_folds("above", "outside", "tops")}
+SELECT l.doc_id, l.digest AS leaf, s.subroot, r.digest AS root, sha256(a.proof) AS proof_sha256, a.node AS folded_root, a.node = r.digest AS verified
+FROM leaves l JOIN above_tops a USING (doc_id) JOIN subroots s ON s.source_tree = l.tree, (SELECT digest FROM tops WHERE n = 1) r
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_jaccard_join", r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+    FROM worded, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS u(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT x, y FROM shared s JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * s.n >= 90 * (a.n + b.n - s.n)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least_id AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x),
+classes AS (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS c FROM shingles GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, CASE WHEN c IS NOT NULL THEN min(d.doc_id) OVER (PARTITION BY c) END AS class_id
+FROM documents d JOIN least_id USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN classes USING (doc_id)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical_join.jaccard_join(table(spark, sf_dir, "documents"))
