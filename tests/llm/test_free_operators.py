@@ -13,7 +13,7 @@ import sentencepiece
 from llm_helpers import ascii_lower, awkward, docs_of  # noqa: F401
 from tokenizers import Tokenizer
 
-from vitrine.llm import chain, chunking, toxicity
+from vitrine.llm import chain, chunking, components, near_dedup, toxicity
 from vitrine.llm.components import connected_components
 from vitrine.llm.fingerprints import fingerprint_documents, fingerprint_edits
 from vitrine.llm.near_dedup import drop_near_copies, near_duplicates
@@ -104,6 +104,33 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1101)}}
 
 
+def test_components_by_rounds_alone(spark, monkeypatch):
+    monkeypatch.setattr(components, "LAST_EDGES", 0)
+    test_components_of_chains_and_stars(spark)
+    structs = spark.createDataFrame([((0, 1), (0, 2)), ((0, 3), (0, 2)), ((9, 9), (9, 8))], "a struct<x:long,y:long>, b struct<x:long,y:long>")
+    want = {(0, 1): (0, 1), (0, 2): (0, 1), (0, 3): (0, 1), (9, 9): (9, 8), (9, 8): (9, 8)}
+    assert {tuple(r.id): tuple(r.component) for r in connected_components(structs).collect()} == want
+    monkeypatch.undo()
+    assert {tuple(r.id): tuple(r.component) for r in connected_components(structs).collect()} == want
+
+
+@pytest.mark.parametrize("linked", [True, False])
+def test_pairs_compared_grow_with_the_texts(docs_of, monkeypatch, linked):
+    """2,000 near copies, or 2,000 unlinked texts around one passage: a few pairs for each text are checked, and none is lost."""
+    compared, verify = [], near_dedup.verified
+
+    def counted(pairs, sets, per_cent):
+        compared.append(pairs.count())
+        return verify(pairs, sets, per_cent)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    base = prose(31, 120)
+    rows = [(i, edited(prose(31, 400), i, 1)) if linked else (i, base + " " + prose(5000 + i, 40)) for i in range(2000)]
+    got = near_duplicates(docs_of(rows)).collect()
+    assert len({r.component_id for r in got}) == (1 if linked else 2000)
+    assert sum(compared) <= 10 * len(rows)
+
+
 # ---------------------------------------------------------------- packing
 
 

@@ -9,12 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.components import connected_components
 from vitrine.session import cut_lineage
 
-#: Rounds of one pivot a key before the rest goes to the prefix join.
-STAR_ROUNDS = 2
-
 
 def spanning_cells(cells: DataFrame) -> DataFrame:
     """The cells of keys that hold several components, with the key's pivot: the member whose id has the smallest hash.
@@ -32,9 +28,13 @@ def star_pairs(spanning: DataFrame, per_cent: int) -> DataFrame:
     return spanning.where(apart).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b")).distinct()
 
 
-def neighbourhoods(links: DataFrame) -> DataFrame:
-    """Rows (id, component): each id under the smallest pivot it is linked to. Parts of components, found in one step."""
-    return links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+def neighbourhoods(links: DataFrame, hops: int = 0) -> DataFrame:
+    """Rows (id, component): each id under the smallest pivot it is linked to, or that pivot's own, ``hops`` times. Parts of components."""
+    names = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+    for _ in range(hops):
+        above = names.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        names = names.join(above.hint("merge"), "component", "left").select("id", F.coalesce("above", "component").alias("component"))
+    return names
 
 
 def with_components(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def prefix_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
     """
     facts = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     met = sets.join(facts.select("s", "n").hint("merge"), "s")
-    ranked = met.groupBy("id", "size", "component").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("known"))
+    ranked = met.groupBy("id", "size", "component").agg(F.array_sort(F.collect_set(F.struct("n", "s"))).alias("known"))
     own = F.col("size") - F.size("known")
     prefix = F.col("size") - F.ceil(F.lit(per_cent) * F.col("size") / 100) + 1
     keyed = ranked.where(own < prefix).select(
@@ -65,15 +65,7 @@ def prefix_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b")).distinct()
 
 
-def merged(first: DataFrame | None, more: DataFrame) -> DataFrame | None:
-    """Components (id, component) of what ``first`` joins and the links ``more`` (a, b) together; None if there are no links at all."""
-    if first is None:
-        return None if more.isEmpty() else connected_components(more)
-    if more.isEmpty():
-        return first
-    names = first.select("id", "component")
-    ends = more.join(names.withColumnsRenamed({"id": "a", "component": "x"}).hint("merge"), "a", "left").join(names.withColumnsRenamed({"id": "b", "component": "y"}).hint("merge"), "b", "left")
-    joined = connected_components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-    all_names = cut_lineage(names.union(joined.join(names.select("id").hint("merge"), "id", "left_anti").select("id", F.col("id").alias("component"))))
-    tops = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
-    return cut_lineage(all_names.join(tops.hint("merge"), "component", "left").select("id", F.coalesce("top", "component").alias("component")))
+def crowded_members(cells: DataFrame) -> DataFrame:
+    """Rows (id, size, component): the members of keys that still hold several components."""
+    crowded = cells.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    return cells.join(crowded.hint("merge"), "key", "left_semi").select("id", "size", "component").distinct()

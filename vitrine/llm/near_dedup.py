@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.arrow import text_slices
 from vitrine.llm.common import repeat_rows, row_key, with_group_facts
-from vitrine.llm.links import STAR_ROUNDS, merged, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
+from vitrine.llm.components import connected_components
+from vitrine.llm.links import crowded_members, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import SHINGLE, MinHasher, WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
 
@@ -123,31 +124,25 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width: int, per_cent: int) -> DataFrame | None:
     """Rows (id, component) for the classes (id, doc, size, slots) that have a link; None when no two can have one.
 
-    The tables on the tensor's diagonal come first. What they join to a pivot is one component in the next rounds, which key
+    The tables on the tensor's diagonal come first. What they join to a pivot is one component in the next round, which keys
     all tables, so a large group of near copies is keyed ``slots`` times and not ``slots`` squared times. A round compares the
-    members of a bucket with one pivot, at most one pair for each cell. Buckets that still span components after the rounds
+    members of a bucket with one pivot, at most one pair for each cell. Buckets that still span components after both rounds
     give their members to a join on rare shingles, which finds every link between components that is left.
     """
     numbered = F.transform("slots", lambda hash, at: F.struct(at.alias("slot"), hash.alias("hash")))
     alone = classes.select("id", "size", F.col("id").alias("component"), numbered.alias("slots"))
     shared = cut_lineage(shared_slots(alone, tensor))
     wanted = classes.join(shared.select("id").hint("merge"), "id", "left_semi").select(F.col("doc").alias("doc_id"))
-    sets = cut_lineage(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["id"]))
+    sets = cut_lineage(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), width))
     spanning = cut_lineage(spanning_cells(cells_of(shared, tensor, True)))
     links = cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent))
-    shared = shared_slots(with_components(shared, neighbourhoods(links)), tensor)
-    cells = cells_of(shared, tensor, False)
-    for _ in range(STAR_ROUNDS):
-        spanning = cut_lineage(spanning_cells(cells))
-        links = links.union(cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent)))
-        cells = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), neighbourhoods(links))
-    components = merged(None, links)
-    left = spanning.where("id <> pivot.id").select("key", "id", "size", F.col("id").alias("component"))
-    left = left if components is None else with_components(left, components)
-    crowded = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rest = cut_lineage(left.join(crowded.hint("merge"), "key", "left_semi").select("id", "size", "component").distinct())
-    shingles = rest.join(sets.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
-    return merged(components, cut_lineage(verified(prefix_pairs(shingles, per_cent), sets, per_cent)))
+    shared = shared_slots(with_components(shared, neighbourhoods(links, 1)), tensor)
+    spanning = cut_lineage(spanning_cells(cells_of(shared, tensor, False)))
+    links = links.union(cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent)))
+    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), neighbourhoods(links, 1))
+    shingles = crowded_members(left).join(sets.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
+    links = links.union(cut_lineage(verified(prefix_pairs(cut_lineage(shingles), per_cent), sets, per_cent)))
+    return None if links.isEmpty() else connected_components(links)
 
 
 def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_cent: int) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.arrow import text_slices
 from vitrine.llm.common import with_group_facts
-from vitrine.llm.links import STAR_ROUNDS, merged, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
+from vitrine.llm.components import connected_components
+from vitrine.llm.links import crowded_members, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
 
@@ -118,10 +119,14 @@ def linked(pairs: DataFrame, parts: DataFrame, per_cent: int) -> DataFrame:
 
 
 def met_classes(signed: DataFrame) -> DataFrame:
-    """Cells (key, id, size, component) of the keys that more than one class has; most sets have none."""
-    cells = signed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("class").alias("id"), F.col("n_shingles").alias("size"))
+    """Cells (key, id, size, component) of the keys that more than one class has; most sets have none.
+
+    Cells are dealt by key once, for the count and for the join with it. A key has one row for each of its classes, of which
+    every class has as many as a fifth of its n-grams: a key of a third of all classes is no more than a few tasks' mean.
+    """
+    cells = signed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("class").alias("id"), F.col("n_shingles").alias("size")).repartition("key")
     shared = cells.groupBy("key").agg(F.min("id.a").alias("a0"), F.max("id.a").alias("a1")).where("a0 <> a1").select("key")
-    return cut_lineage(cells.join(shared.hint("merge"), "key", "left_semi").distinct().withColumn("component", F.col("id")))
+    return cut_lineage(cells.join(shared.hint("merge"), "key", "left_semi").withColumn("component", F.col("id")))
 
 
 def joined_classes(cells: DataFrame, signed: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame | None:
@@ -131,19 +136,13 @@ def joined_classes(cells: DataFrame, signed: DataFrame, docs: DataFrame, width:
     components then meet by rare shingles. Both are exact together, and no key is expanded into its pairs.
     """
     wanted = signed.join(cells.select(F.col("id").alias("class")).distinct().hint("merge"), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    parts = cut_lineage(segments(docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["id", "fragment"]))
-    links = None
-    for _ in range(STAR_ROUNDS):
-        spanning = cut_lineage(spanning_cells(cells))
-        found = linked(star_pairs(spanning, per_cent), parts, per_cent)
-        links = found if links is None else links.union(found)
-        cells = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), neighbourhoods(links))
-    components = merged(None, links)
-    left = cells if components is None else with_components(cells, components)
-    crowded = left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rest = cut_lineage(left.join(crowded.hint("merge"), "key", "left_semi").select("id", "size", "component").distinct())
-    shingles = rest.join(parts.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
-    return merged(components, linked(prefix_pairs(shingles, per_cent), parts, per_cent))
+    parts = cut_lineage(segments(docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["id", "fragment"]))
+    spanning = cut_lineage(spanning_cells(cells))
+    links = linked(star_pairs(spanning, per_cent), parts, per_cent)
+    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), neighbourhoods(links, 1))
+    shingles = crowded_members(left).join(parts.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
+    links = links.union(linked(prefix_pairs(cut_lineage(shingles), per_cent), parts, per_cent))
+    return None if links.isEmpty() else connected_components(links)
 
 
 def jaccard_join(docs: DataFrame, *, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
