@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.components import connected_components
 from vitrine.session import cut_lineage
 
 
@@ -69,3 +70,10 @@ def crowded_members(cells: DataFrame) -> DataFrame:
     """Rows (id, size, component): the members of keys that still hold several components."""
     crowded = cells.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
     return cells.join(crowded.hint("merge"), "key", "left_semi").select("id", "size", "component").distinct()
+
+
+def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) of what ``joined`` says and the links (a, b) together."""
+    if links.isEmpty():
+        return joined
+    return connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))

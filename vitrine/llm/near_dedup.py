@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.arrow import text_slices
 from vitrine.llm.common import repeat_rows, row_key, with_group_facts
 from vitrine.llm.components import connected_components
-from vitrine.llm.links import crowded_members, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
+from vitrine.llm.links import crowded_members, extended, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import SHINGLE, MinHasher, WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
 
@@ -121,8 +121,8 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return links.where((100 + per_cent) * F.col("both") >= per_cent * F.col("sum")).select("a", "b")
 
 
-def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width: int, per_cent: int) -> DataFrame | None:
-    """Rows (id, component) for the classes (id, doc, size, slots) that have a link; None when no two can have one.
+def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width: int, per_cent: int) -> DataFrame:
+    """Rows (id, component) for the classes (id, doc, size, slots) that have a link.
 
     The tables on the tensor's diagonal come first. What they join to a pivot is one component in the next round, which keys
     all tables, so a large group of near copies is keyed ``slots`` times and not ``slots`` squared times. A round compares the
@@ -139,10 +139,10 @@ def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width:
     shared = shared_slots(with_components(shared, neighbourhoods(links, 1)), tensor)
     spanning = cut_lineage(spanning_cells(cells_of(shared, tensor, False)))
     links = links.union(cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent)))
-    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), neighbourhoods(links, 1))
+    joined = connected_components(links)
+    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), joined)
     shingles = crowded_members(left).join(sets.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
-    links = links.union(cut_lineage(verified(prefix_pairs(cut_lineage(shingles), per_cent), sets, per_cent)))
-    return None if links.isEmpty() else connected_components(links)
+    return extended(joined, cut_lineage(verified(prefix_pairs(cut_lineage(shingles), per_cent), sets, per_cent)))
 
 
 def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_cent: int) -> DataFrame:
@@ -156,12 +156,8 @@ def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_
         F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("slots").alias("slots")))
     components = class_components(classes, docs.select("doc_id", "text"), tensor, width, per_cent)
     named = classes.select("id", "doc", "copies")
-    if components is None:
-        named = named.withColumns({"component": F.col("id"), "component_id": F.col("doc")})
-    else:
-        named = named.withColumn("component", F.col("id"))
-        named = cut_lineage(with_components(named, components))
-        named = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")).hint("merge"), "component")
+    named = cut_lineage(with_components(named.withColumn("component", F.col("id")), components))
+    named = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")).hint("merge"), "component")
     facts = named.select(F.col("id").alias("class"), F.col("doc").alias("class_id"), "copies", "component", "component_id")
     rows = signed.select(*passed, "n_shingles", "class", "able")
     linked = with_group_facts(rows.where("able"), facts, ["class"], "copies", total).select(*passed, "n_shingles", "class_id", "component", "component_id")

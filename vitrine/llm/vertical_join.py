@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.arrow import text_slices
 from vitrine.llm.common import with_group_facts
 from vitrine.llm.components import connected_components
-from vitrine.llm.links import crowded_members, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
+from vitrine.llm.links import crowded_members, extended, prefix_pairs, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
 
@@ -129,8 +129,8 @@ def met_classes(signed: DataFrame) -> DataFrame:
     return cut_lineage(cells.join(shared.hint("merge"), "key", "left_semi").withColumn("component", F.col("id")))
 
 
-def joined_classes(cells: DataFrame, signed: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame | None:
-    """Components (id, component) of the classes that have a link; None if none has.
+def joined_classes(cells: DataFrame, signed: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Components (id, component) of the classes that have a link.
 
     A round compares a key's members with one pivot: at most one pair for each cell. Members of keys that still span
     components then meet by rare shingles. Both are exact together, and no key is expanded into its pairs.
@@ -139,10 +139,10 @@ def joined_classes(cells: DataFrame, signed: DataFrame, docs: DataFrame, width:
     parts = cut_lineage(segments(docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["id", "fragment"]))
     spanning = cut_lineage(spanning_cells(cells))
     links = linked(star_pairs(spanning, per_cent), parts, per_cent)
-    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), neighbourhoods(links, 1))
+    joined = connected_components(links)
+    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), joined)
     shingles = crowded_members(left).join(parts.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
-    links = links.union(linked(prefix_pairs(cut_lineage(shingles), per_cent), parts, per_cent))
-    return None if links.isEmpty() else connected_components(links)
+    return extended(joined, linked(prefix_pairs(cut_lineage(shingles), per_cent), parts, per_cent))
 
 
 def jaccard_join(docs: DataFrame, *, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
@@ -158,11 +158,8 @@ def jaccard_join(docs: DataFrame, *, width: int = WIDTH, per_cent: int = PER_CEN
     components = joined_classes(met_classes(signed), signed, docs.select("doc_id", "text"), width, per_cent)
     rows = signed.drop("keys").withColumn("able", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = rows.where("able").groupBy(F.col("class").alias("id")).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
-    if components is None:
-        named = classes.withColumn("component_id", F.col("doc"))
-    else:
-        named = cut_lineage(with_components(classes, components))
-        named = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")).hint("merge"), "component")
+    named = cut_lineage(with_components(classes, components))
+    named = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")).hint("merge"), "component")
     facts = cut_lineage(named.select(F.col("id").alias("class"), F.col("doc").alias("class_id"), "copies", "component_id"))
     met = with_group_facts(rows.where("able"), facts, ["class"], "copies", signed.count()).select("doc_id", "n_shingles", "component_id", "class_id")
     alone = rows.where("NOT able").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("class_id"))
