@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import hardware as H
 from registry.core import NOW, query
-from registry.discovery_queries import scored
+from registry.discovery_queries import GEM_SQL, RAIL_SQL, diversify_sql, scored
 from registry.hardware import lit, part
 from registry.scalar_queries import enriched, joined
 from vitrine.operators import activity as A
@@ -59,7 +59,7 @@ def _(t):
 
 
 @query("stale_brands", f"""
-    WITH l AS (SELECT brand_id, max(coalesce(scraped_at, created_at)) AS last FROM products WHERE brand_id <> 'Brand#5' AND CAST(id AS INT) < 60 * CAST(regexp_extract(brand_id, '([0-9]+)', 1) AS INT) GROUP BY 1), a AS (SELECT b.id AS brand_id, b.instagram_username, l.last, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(l.last)) / 86400000000.0) AS BIGINT) AS age_days FROM brands b LEFT JOIN l ON l.brand_id = b.id)
+    WITH l AS (SELECT brand_id, max(coalesce(scraped_at, created_at)) AS last FROM products WHERE brand_id IS NOT NULL GROUP BY 1), a AS (SELECT b.id AS brand_id, b.instagram_username, l.last, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(l.last)) / 86400000000.0) AS BIGINT) AS age_days FROM brands b LEFT JOIN l ON l.brand_id = b.id)
     SELECT brand_id, instagram_username, age_days, CASE WHEN age_days IS NULL THEN 'NEVER_REFRESHED' ELSE 'STALE' END AS status FROM a WHERE age_days IS NULL OR age_days >= 70""")
 def _(t):
     return A.stale_brands(t.brands, t.products, t.now, 70).select("brand_id", "instagram_username", "age_days", "status")
@@ -114,9 +114,11 @@ def _(t):
 
 
 @query("for_you_rail", f"""
-    WITH e AS ({H.ENRICHED}), n AS (SELECT i.user_id, e.category, i.ts, i.event_id FROM interactions i JOIN e ON e.id = i.product_id WHERE e.category IS NOT NULL AND CAST(i.user_id AS INT) % 5 <> 0), l AS (SELECT user_id, max_by(category, (ts, event_id)) AS label FROM n GROUP BY 1),
-    h AS (SELECT category, id, CAST(row_number() OVER (PARTITION BY category ORDER BY CAST(id AS BIGINT)) AS INT) AS position FROM e WHERE category IS NOT NULL), f AS (SELECT id, CAST(row_number() OVER (ORDER BY CAST(id AS BIGINT)) AS INT) AS position FROM products)
-    SELECT l.user_id, l.label, h.id, h.position FROM l JOIN h ON h.category = l.label AND h.position <= 8 UNION ALL SELECT u.user_id, NULL, f.id, f.position FROM (SELECT DISTINCT user_id FROM interactions WHERE CAST(user_id AS INT) % 5 = 0) u, f WHERE f.position <= 8""")
+    WITH RECURSIVE {GEM_SQL}, {RAIL_SQL}, {diversify_sql("(SELECT * FROM rl WHERE rail = 'hidden_gems')")}, fy_e AS ({H.ENRICHED}),
+    fy_n AS (SELECT i.user_id, fy_e.category, i.ts, i.event_id FROM interactions i JOIN fy_e ON fy_e.id = i.product_id WHERE fy_e.category IS NOT NULL), fy_l AS (SELECT user_id, max_by(category, (ts, event_id)) AS label FROM fy_n GROUP BY 1),
+    fy_h AS (SELECT category, id, CAST(row_number() OVER (PARTITION BY category ORDER BY CAST(id AS BIGINT)) AS INT) AS position FROM fy_e WHERE category IS NOT NULL),
+    fy_u AS (SELECT DISTINCT user_id FROM interactions WHERE user_id NOT IN (SELECT user_id FROM fy_l))
+    SELECT l.user_id, l.label, h.id, h.position FROM fy_l l JOIN fy_h h ON h.category = l.label AND h.position <= 8 UNION ALL SELECT u.user_id, NULL, d.id, d.position FROM fy_u u, diversified d WHERE d.position <= 8""")
 def _(t):
     gems = D.diversify(D.rail_scores(scored(t)).where("rail = 'hidden_gems'"), 16, seed="guest-1")
     return A.for_you_rail(t.interactions, enriched(t), gems)

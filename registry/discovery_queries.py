@@ -78,7 +78,21 @@ def _(t):
     return D.rail_scores(scored(t))
 
 
-@query("diversify")
+def diversify_sql(rails: str, limit: int = 16, seed: str = "guest-1") -> str:
+    """SQL tables up to diversified(rail, id, position): one family's turn a step, the state held in lists."""
+    pick = (f"list_filter(fs[i].q, lambda x: NOT list_contains(ids, x.id) AND len(list_filter(brands, lambda b: b = x.brand)) < {D.MAX_PER_BRAND})[1]")
+    return f"""dv_b AS (SELECT *, row_number() OVER (PARTITION BY rail, product_family, brand ORDER BY s1 DESC, s2 DESC, id) AS b FROM {rails}),
+    dv_f AS (SELECT *, row_number() OVER (PARTITION BY rail, product_family ORDER BY s1 DESC, s2 DESC, id) AS f FROM dv_b WHERE b <= {D.MAX_PER_BRAND}),
+    dv_q AS (SELECT rail, product_family AS fam, md5('{seed}' || product_family) AS turn, list({{'id': id, 'brand': brand}} ORDER BY f) AS q FROM dv_f WHERE f <= {2 * limit} GROUP BY ALL),
+    dv_r AS (SELECT rail, list({{'fam': fam, 'q': q}} ORDER BY turn, fam) AS fs FROM dv_q GROUP BY rail),
+    dv_s AS (SELECT rail, fs, 1 AS i, 0 AS phase, FALSE AS moved, []::VARCHAR[] AS ids, []::VARCHAR[] AS brands, []::VARCHAR[] AS fams FROM dv_r
+      UNION ALL SELECT rail, fs, CASE WHEN i < len(fs) THEN i + 1 ELSE 1 END, CASE WHEN i < len(fs) OR moved OR pick IS NOT NULL THEN phase ELSE phase + 1 END, i < len(fs) AND (moved OR pick IS NOT NULL),
+        CASE WHEN pick IS NULL THEN ids ELSE list_append(ids, pick.id) END, CASE WHEN pick IS NULL THEN brands ELSE list_append(brands, pick.brand) END, CASE WHEN pick IS NULL THEN fams ELSE list_append(fams, fs[i].fam) END
+      FROM (SELECT *, CASE WHEN phase = 1 OR len(list_filter(fams, lambda x: x = fs[i].fam)) < {D.MAX_PER_FAMILY} THEN {pick} END AS pick FROM dv_s WHERE phase < 2 AND len(ids) < {limit})),
+    diversified AS (SELECT rail, unnest(ids) AS id, CAST(generate_subscripts(ids, 1) AS INT) AS position FROM dv_s WHERE phase = 2 OR len(ids) = {limit})"""
+
+
+@query("diversify", f"WITH RECURSIVE {GEM_SQL}, {RAIL_SQL}, {diversify_sql('rl')} SELECT rail, id, position FROM diversified")
 def _(t):
     return D.diversify(D.rail_scores(scored(t)), 16, seed="guest-1")
 

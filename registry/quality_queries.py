@@ -88,7 +88,7 @@ def _(t):
 
 @query("brand_health", f"""
     WITH s AS (SELECT brand_id, count(*) AS product_count, count(*) FILTER ({valid_url_sql('image_url')}) AS i, count(*) FILTER (coalesce(len(embedding), 0) = {DIM}) AS e, count(*) FILTER (category_id IS NOT NULL) AS c,
-      sum({QUALITY_SQL}) AS q, max(coalesce(scraped_at, created_at)) AS last FROM products WHERE CAST(id AS INT) % 4 = 1 OR brand_id <> 'Brand#7' GROUP BY 1),
+      sum({QUALITY_SQL}) AS q, max(coalesce(scraped_at, created_at)) AS last FROM products GROUP BY 1),
     r AS (SELECT b.id AS brand_id, coalesce(nullif(b.name, ''), b.brand_name) AS brand_name, coalesce(product_count, 0) AS product_count, coalesce(i, 0) AS products_with_images, coalesce(e, 0) AS products_with_embeddings,
       coalesce(c, 0) AS products_with_categories, CASE WHEN product_count > 0 THEN round_even(q / product_count::DOUBLE, 1) ELSE 0.0 END AS average_catalog_quality_score, last::VARCHAR AS last_product_ingested_at,
       b.id IN (SELECT brand_id FROM failures) AS failed FROM brands b LEFT JOIN s ON s.brand_id = b.id)

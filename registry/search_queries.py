@@ -129,11 +129,6 @@ def _(t):
     return hits.withColumn("similarity", F.bround("similarity", 6))
 
 
-@query("lexical_search")
-def _(t):
-    return L.lexical_search(V.attach_scope(t.search_queries, t.categories), t.products, 100)
-
-
 @query("weighted_lexical_rank", f"""
     WITH idx AS (SELECT id, {', '.join(f'{lex_sql(e)} AS {n}' for n, e in FIELDS_SQL.items())} FROM products WHERE coalesce(catalog_status, 'ACTIVE') = 'ACTIVE')
     SELECT id, round_even(list_sum(list_transform(['red', 'ring', 'kurti'], lambda term: {TF}))::DOUBLE, 6) AS rank FROM idx""")
@@ -157,16 +152,46 @@ def trigram_sql(text: str) -> str:
 def _(t):
     names = t.products.select(F.col("product_name").alias("name")).distinct().where("name IS NOT NULL")
     texts = t.search_queries.select("query").distinct()
-    shared = names.withColumn("gram", F.explode(L.trigrams(F.col("name")))).join(
-        texts.withColumn("gram", F.explode(L.trigrams(F.col("query")))), "gram").select("query", "name").distinct()
-    scored = shared.withColumn("similarity", L.trigram_similarity(F.col("query"), F.col("name")))
-    return scored.where(F.col("similarity") > L.TRIGRAM_FLOOR).withColumn("similarity", F.bround("similarity", 6))
+    return L.trigram_pairs(texts, names).withColumn("similarity", F.bround("similarity", 6))
+
+
+def lexical_sql(queries: str, alternatives: str, k: int) -> str:
+    """SQL of a whole lexical search: ``queries`` gives (qid, query, category_id), ``alternatives`` (qid, nth, must, must_not)."""
+    closure = CLOSURE_SQL.replace("WITH RECURSIVE ", "", 1)
+    inside = "(lq.category_id IS NULL OR {0}.category_id IN (SELECT c.id FROM closure c WHERE c.root_id = lq.category_id))"
+    words = "list_concat(a, list_concat(b, list_concat(c, d)))"
+    return f"""WITH RECURSIVE {closure}, lq AS ({queries}), alts AS ({alternatives}),
+    idx AS (SELECT id, category_id, {', '.join(f'{lex_sql(e)} AS {n}' for n, e in FIELDS_SQL.items())} FROM products WHERE coalesce(catalog_status, 'ACTIVE') = 'ACTIVE'),
+    met AS (SELECT lq.qid, idx.id, list_sum(list_transform(must, lambda term: {TF}))::DOUBLE AS w FROM alts JOIN lq USING (qid) JOIN idx
+      ON list_has_all({words}, must) AND NOT list_has_any({words}, must_not) AND {inside.format('idx')} WHERE len(must) > 0),
+    best AS (SELECT qid, id, max(round_even(w, 9)) AS similarity FROM met GROUP BY 1, 2),
+    fts AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS INT) AS rank FROM best) WHERE rank <= {k}),
+    few AS (SELECT lq.qid, lq.query, lq.category_id, count(fts.id) AS n FROM lq LEFT JOIN fts ON fts.qid = lq.qid GROUP BY ALL HAVING count(fts.id) < {L.FALLBACK_HITS}),
+    live AS (SELECT id, product_name, brand, category_id FROM products WHERE coalesce(catalog_status, 'ACTIVE') = 'ACTIVE'),
+    nm AS (SELECT name, list_filter(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM (SELECT product_name AS name FROM live UNION SELECT brand FROM live) WHERE name IS NOT NULL),
+    r1 AS (SELECT name, ws, unnest(range(1, len(ws) + 1)) AS i FROM nm), r2 AS (SELECT name, ws, i, unnest(range(i, len(ws) + 1)) AS j FROM r1),
+    g AS (SELECT query, {trigram_sql('query')} AS qg FROM (SELECT DISTINCT query FROM few)), e AS (SELECT name, {trigram_sql("array_to_string(ws[i:j], ' ')")} AS ng FROM r2),
+    s AS (SELECT query, name, len(list_intersect(qg, ng)) AS shared, len(qg) AS na, len(ng) AS nb FROM g, e),
+    near AS (SELECT query, name, max(shared / (na + nb - shared)::DOUBLE) AS similarity FROM s GROUP BY 1, 2 HAVING max(shared / (na + nb - shared)::DOUBLE) > {L.TRIGRAM_FLOOR}),
+    tri AS (SELECT lq.qid, live.id, lq.n, max(similarity) AS similarity FROM few lq JOIN near USING (query) JOIN live ON (live.product_name = near.name OR live.brand = near.name) AND {inside.format('live')}
+      WHERE NOT EXISTS (SELECT 1 FROM fts WHERE fts.qid = lq.qid AND fts.id = live.id) GROUP BY ALL),
+    filled AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS r FROM tri)
+    SELECT qid, id, round_even(similarity, 6) AS similarity, rank, 'text' AS source FROM fts UNION ALL SELECT qid, id, round_even(similarity, 6), CAST(r + n AS INT), 'trigram' FROM filled WHERE r <= {k} - n"""
+
+
+@query("lexical_search", lexical_sql("SELECT qid, query, category_id FROM search_queries", f"SELECT qid, 0 AS nth, list_distinct({lex_sql('query')}) AS must, []::VARCHAR[] AS must_not FROM search_queries", 100))
+def _(t):
+    return L.lexical_search(V.attach_scope(t.search_queries, t.categories), t.products, 100).withColumn("similarity", F.bround("similarity", 6))
+
+
+MIXED = "SELECT qid, category_id, CASE WHEN CAST(qid AS INT) % 2 = 0 THEN query || ' OR gizmos -plate' ELSE translate(query, 'aeiou', 'aeiuo') END AS query, CASE WHEN CAST(qid AS INT) % 2 = 0 THEN query ELSE translate(query, 'aeiou', 'aeiuo') END AS first FROM search_queries"
 
 
-@query("fts_union_trigram")
+@query("fts_union_trigram", lexical_sql(f"SELECT qid, query, category_id FROM ({MIXED})", f"""SELECT qid, 0 AS nth, list_distinct({lex_sql('first')}) AS must, []::VARCHAR[] AS must_not FROM ({MIXED})
+    UNION ALL SELECT qid, 1, ['gizmo'], ['plate'] FROM search_queries WHERE CAST(qid AS INT) % 2 = 0""", 20))
 def _(t):
     queries = t.search_queries.withColumn("query", F.when(F.col("qid").cast("int") % 2 == 0, F.concat("query", F.lit(" OR gizmos -plate"))).otherwise(F.translate("query", "aeiou", "aeiuo")))
-    return L.lexical_search(V.attach_scope(queries, t.categories), t.products, 20)
+    return L.lexical_search(V.attach_scope(queries, t.categories), t.products, 20).withColumn("similarity", F.bround("similarity", 6))
 
 
 @query("hybrid_candidates")

@@ -41,7 +41,9 @@ CAPTIONS = (
 )
 SLUGS = ("women-dresses", "men-shirts", "accessories-jewellery", "women-kurtis", "unisex-hoodies", "women-jeans",
          "watches-minimal", "home-decor", "women-tops", "men-jeans", "accessories-bags", "uncategorized")
-HANDLES = ("ferngrove.label", "@Paper  Moth", "_sunloom_", "quillhaven.in", "Fashion Capital", "linen.barn", "", "mira_threads")
+#: Hour of a product's last refresh: two brands were last refreshed long ago, so that stale ones occur.
+AGED = "(CASE WHEN p_brand IN ('Brand#4', 'Brand#9') THEN k % 300 ELSE k END)"
+HANDLES = ("ferngrove.label", "@Paper  Moth", "_sunloom_", "quillhaven.in", "Harbour Tailors", "linen.barn", "", "mira_threads")
 
 
 
@@ -134,7 +136,7 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
                CASE k % 20 WHEN 0 THEN 'NON_PRODUCT' WHEN 1 THEN 'MANUAL_REVIEW' WHEN 2 THEN NULL ELSE 'ACTIVE' END AS catalog_status,
                CAST((k * 7) % 500 AS INT) AS likes_count, CAST(k % 40 AS INT) AS comments_count,
                {d.pick('k % 5', '|summer|festive||office')} AS source_hashtag,
-               CASE WHEN k % 73 = 0 THEN NULL ELSE {d.hours('k')} END AS scraped_at, {d.hours('k - 12')} AS created_at,
+               CASE WHEN k % 73 = 0 THEN NULL ELSE {d.hours(AGED)} END AS scraped_at, {d.hours(f'{AGED} - 12')} AS created_at,
                embedding,
                {d.struct_open}{d.field('colour')} {d.pick('k % 4', 'red|blue||black')}, {d.field('color')} {d.pick('k % 5', '|||gold|')},
                       {d.field('style')} CASE k % 4 WHEN 0 THEN {d.list("'minimal', 'party'")} WHEN 1 THEN {d.list("'vintage'")} WHEN 2 THEN NULL ELSE {d.list("'minimal'")} END,

@@ -141,7 +141,7 @@ def diversify(rails: DataFrame, limit: int, *, seed: str = "", max_per_brand: in
     by_family = Window.partitionBy("rail", "product_family").orderBy(F.desc("s1"), F.desc("s2"), "id")
     short = rails.withColumn("_b", F.row_number().over(by_brand)).where(F.col("_b") <= max_per_brand)
     short = short.withColumn("_f", F.row_number().over(by_family)).where(F.col("_f") <= 2 * limit)
-    short = short.withColumn("_turn", F.xxhash64(F.lit(seed), F.col("product_family"))).select("rail", "id", "brand", "product_family", "_f", "_turn")
+    short = short.withColumn("_turn", F.md5(F.concat(F.lit(seed), "product_family"))).select("rail", "id", "brand", "product_family", "_f", "_turn")
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_turn", "product_family", "_f"])

@@ -143,10 +143,31 @@ def trigram_similarity(needle: Column, text: Column) -> Column:
     return F.when((n > 0) & (F.size(wanted) > 0), best).otherwise(0.0)
 
 
+def trigram_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, name, similarity) of all pairs above the floor, for distinct ``texts`` (query) and ``names`` (name).
+
+    A set-similarity join with prefixes. Above the floor a name holds more than floor x n of a text's n trigrams, so it
+    holds one of the text's ``n - floor(floor x n)`` rarest: only those are keys, in order of their frequency among the
+    names. A pair met there has to share enough trigrams in all before runs of words are compared. No pair is lost.
+    """
+    postings = names.select("name", F.explode(trigrams(F.col("name"))).alias("gram"))
+    frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    known = texts.select("query", F.explode(trigrams(F.col("query"))).alias("gram")).join(frequency, "gram", "left")
+    ranked = known.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(or_else(F.col("n"), 0).alias("n"), "gram"))).alias("grams"))
+    needed = lambda size: F.floor(size * int(100 * TRIGRAM_FLOOR) / 100)
+    size = F.size("grams")
+    prefix = F.slice("grams", F.lit(1), (size - needed(size)).cast("int"))
+    keys = ranked.select("query", F.explode(F.filter(prefix, lambda g: g["n"] > 0)).alias("g")).select("query", "g.gram")
+    met = keys.join(postings, "gram").select("query", "name").distinct()
+    wanted = trigrams(F.col("query"))
+    near = met.where(F.size(F.array_intersect(wanted, trigrams(F.col("name")))) > needed(F.size(wanted)))
+    return near.withColumn("similarity", trigram_similarity(F.col("query"), F.col("name"))).where(F.col("similarity") > TRIGRAM_FLOOR)
+
+
 def trigram_hits(queries: DataFrame, products: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Trigram matches above the floor for queries with few full-text hits, filling up to k.
 
-    Similarity is computed between distinct query texts and distinct names, found through shared trigrams.
+    Similarity is computed between distinct query texts and distinct names, found through their rarest trigrams.
     Products of equal name, brand and category score alike, so only the first k + FALLBACK_HITS of them can
     be returned and the others are cut before the join back.
     """
@@ -157,13 +178,7 @@ def trigram_hits(queries: DataFrame, products: DataFrame, found: DataFrame, k: i
     shortlist = active.select("id", "product_name", "brand", "category_id", F.row_number().over(spot).alias("_spot")).where(
         F.col("_spot") <= k + FALLBACK_HITS).drop("_spot")
     names = shortlist.select("product_name").union(shortlist.select("brand")).distinct().toDF("name").where("name IS NOT NULL")
-    texts = few.select("query").distinct()
-    near = (
-        names.withColumn("gram", F.explode(trigrams(F.col("name"))))
-        .join(texts.withColumn("gram", F.explode(trigrams(F.col("query")))), "gram")
-        .select("query", "name").distinct()
-        .withColumn("similarity", trigram_similarity(F.col("query"), F.col("name")))
-        .where(F.col("similarity") > TRIGRAM_FLOOR))
+    near = trigram_pairs(few.select("query").distinct(), names)
     scored = few.join(near, "query").select("qid", "scope", "n_found", "name", "similarity")
     by = lambda column: shortlist.join(scored, F.col(column) == F.col("name")).select("qid", "scope", "n_found", "id", "category_id", "similarity")
     pairs = by("product_name").union(by("brand"))
