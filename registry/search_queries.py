@@ -13,10 +13,13 @@ from vitrine.functions import text as X
 from vitrine.functions.personal import personalization_match
 from vitrine.operators import catalog as C
 from vitrine.operators import fusion as U
+from vitrine.operators import ivf as I
 from vitrine.operators import lexical as L
 from vitrine.operators import ranking as R
 from vitrine.operators import retrieval as V
+from vitrine.operators.topk import exact_topk
 from vitrine.plans import discover as D
+from vitrine.session import scratch_folder
 
 COS = "round_even(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9)"
 
@@ -62,6 +65,29 @@ def _(t):
     return approximate_topk(t.search_queries.select("qid", "embedding"), t.products.select("id", "embedding"), 10, dim=DIM)
 
 
+def indexed(t, cells: int = 32):
+    """The products' vectors in a stored inverted-file index."""
+    path = scratch_folder(t.spark, "vector-index")
+    items = t.products.where("coalesce(catalog_status, 'ACTIVE') = 'ACTIVE'").select("id", "embedding", "category_id")
+    I.write_index(items, I.fit_centroids(items, cells), path)
+    return I.open_index(t.spark, path)
+
+
+@query("ann_knn_exact", f"WITH RECURSIVE {knn_sql(10, -2.0)} SELECT qid, id, similarity, rank FROM knn")
+def _(t):
+    index, centroids = indexed(t)
+    return I.ivf_topk(V.attach_scope(t.search_queries, t.categories), index, centroids, 10, probes=4, exact=True)
+
+
+@query("ann_recall", f"WITH RECURSIVE {knn_sql(10, -2.0)} SELECT count(DISTINCT qid) AS queries, count(*) AS wanted, 1.0::DOUBLE AS recall FROM knn")
+def _(t):
+    index, centroids = indexed(t)
+    queries = V.attach_scope(t.search_queries, t.categories)
+    found = I.ivf_topk(queries, index, centroids, 10, probes=4, exact=True)
+    exact = exact_topk(queries, t.products.where("coalesce(catalog_status, 'ACTIVE') = 'ACTIVE'"), 10)
+    return I.recall_at_k(found, exact)
+
+
 @query("nearest_neighbor_similarity", """
     SELECT a.vec_id::VARCHAR AS id, max(round_even(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)) AS nearest_neighbor_similarity
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label GROUP BY 1""")

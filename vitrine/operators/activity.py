@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +16,9 @@ from vitrine.operators.filters import is_not_non_product
 from vitrine.operators.topk import BestPerQuery
 from vitrine.session import cut_lineage
 
+#: Brands of a block when brands are compared, and numbers of a dense part at most.
+TARGET_BLOCK, BRAND_BLOCK, DENSE_CELLS = 4_096, 20_000, 4_000_000
+
 # The outcome classes, review thresholds and candidate words.
 SUCCESS_OUTCOMES, FAILURE_OUTCOMES = ("INSERTED", "UPDATED"), ("FAILED_IMAGE",)
 APPROVE_SCORE, REVIEW_SCORE = 80, 60
@@ -103,59 +104,67 @@ def dedupe_candidates(candidates: DataFrame, order_col: str) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(order_col))).where("_n = 1").drop("_key", "_n")
 
 
-def similar_brands(targets: DataFrame, brands: DataFrame, products: DataFrame, limit: int = 8, block: int = 4_096) -> DataFrame:
+def similar_brands(targets: DataFrame, brands: DataFrame, products: DataFrame, limit: int = 8, block: int = TARGET_BLOCK) -> DataFrame:
     """(target_id, brand_id, similarity_score, position) for a batch of target brands.
 
-    .65 x products in the target's categories per target category + .35 x closeness of the mean niche score.
-    Each task scores its brands against a block of targets with one sparse product and keeps ``limit`` per
-    target, so brand pairs are never materialised. Any number of targets is taken, in blocks of about ``block``.
+    .65 x products in the target's categories per target category + .35 x closeness of the mean niche score. Targets and
+    brands are dealt into blocks, and every block of targets meets every block of brands in one task, which multiplies
+    sparse category counts and keeps ``limit`` per target: brand pairs are never rows, and only two counts reach the driver.
     """
     cells = products.where("brand_id IS NOT NULL").groupBy("brand_id", "category_id").agg(F.count("*").alias("n"), F.sum(or_else(F.col("niche_score"), 0.0)).alias("s"))
-    stats = cells.groupBy("brand_id").agg(
-        F.collect_list(F.when(F.col("category_id").isNotNull(), F.struct("category_id", "n"))).alias("cats"),
-        F.bround(F.sum("s") / F.sum("n"), 12).alias("niche"))
-    asked = targets.select(F.col("id").alias("brand_id")).distinct()
-    blocks = max(1, -(-asked.count() // block))
-    if blocks > 1:
-        stats = cut_lineage(stats)
-    parts = [_similar_to(stats, asked.where(F.pmod(F.xxhash64("brand_id"), F.lit(blocks)) == n), limit) for n in range(blocks)]
+    stats = cut_lineage(cells.groupBy("brand_id").agg(
+        F.collect_list(F.when(F.col("category_id").isNotNull(), F.struct(F.col("category_id").cast("bigint").alias("category_id"), "n"))).alias("cats"),
+        F.bround(F.sum("s") / F.sum("n"), 12).alias("niche")))
+    asked = cut_lineage(stats.join(targets.select(F.col("id").alias("brand_id")).distinct(), "brand_id", "left_semi"))
+    blocks = lambda df, rows: max(1, -(-df.count() // rows))
+    target_blocks, brand_blocks = blocks(asked, block), blocks(stats, BRAND_BLOCK)
+    spread = lambda n: F.pmod(F.xxhash64("brand_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(spread(target_blocks).alias("tb"), every(brand_blocks).alias("bb"), "brand_id", "cats", "niche")
+    right = stats.select(spread(brand_blocks).alias("bb"), every(target_blocks).alias("tb"), "brand_id", "cats", "niche")
+    met = left.groupBy("tb", "bb").cogroup(right.select("tb", "bb", "brand_id", "cats", "niche").groupBy("tb", "bb"))
     spot = Window.partitionBy("target_id").orderBy(F.desc("similarity_score"), "brand_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("position", F.row_number().over(spot)).where(F.col("position") <= limit)
-
-
-def _similar_to(stats: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    """(target_id, brand_id, similarity_score): each task's best brands for one block of targets."""
-    asked = stats.join(targets, "brand_id", "left_semi").orderBy("brand_id").collect()
-    columns = {c: i for i, c in enumerate(sorted({c["category_id"] for r in asked for c in r["cats"]}))}
-    share = np.zeros((len(asked), max(1, len(columns))))
-    for row, r in enumerate(asked):
-        for c in r["cats"]:
-            share[row, columns[c["category_id"]]] = 1.0 / len(r["cats"])
-    ids = np.asarray([r["brand_id"] for r in asked], dtype="U")
-    means = np.asarray([r["niche"] for r in asked], dtype=float)
-    shared = stats.sparkSession.sparkContext.broadcast((columns, share, ids, means))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, weights, targets_, niches = shared.value
-        best = BestPerQuery(len(targets_), limit, -1.0)
-        for batch in batches:
-            counts = np.zeros((batch.num_rows, weights.shape[1]))
-            for row, cats in enumerate(batch.column("cats").to_pylist()):
-                for c in cats:
-                    if c["category_id"] in where:
-                        counts[row, where[c["category_id"]]] = c["n"]
-            names = np.asarray(batch.column("brand_id").to_pylist(), dtype="U")
-            niche = batch.column("niche").to_numpy(zero_copy_only=False)
-            near = 1 - np.minimum(1.0, np.abs(niche[:, None] - niches[None, :]))
-            scores = np.round(0.65 * (counts @ weights.T) + 0.35 * near, 9)
-            scores[names[:, None] == targets_[None, :]] = -np.inf
-            if batch.num_rows and len(targets_):
-                best.offer(scores, 0, names)
-        if len(best.q):
-            found = best.batch(targets_)
-            yield pa.RecordBatch.from_arrays(found.columns, names=["target_id", "brand_id", "similarity_score"])
-
-    return stats.mapInArrow(score, "target_id string, brand_id string, similarity_score double")
+    found = met.applyInArrow(lambda asked, known: _similar_in_blocks(asked, known, limit), "target_id string, brand_id string, similarity_score double")
+    return found.withColumn("position", F.row_number().over(spot)).where(F.col("position") <= limit)
+
+
+def _flat_cats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, category and count of every (brand, category) of a block."""
+    lists = table.column("cats").combine_chunks()
+    rows = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int))
+    flat = lists.flatten()
+    return rows, flat.field("category_id").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
+
+
+def _similar_in_blocks(asked: pa.Table, known: pa.Table, limit: int) -> pa.Table:
+    """Each target's best brands of one block. Dense parts hold at most DENSE_CELLS numbers, whatever the number of categories."""
+    targets, names = (np.asarray(t.column("brand_id").to_pylist(), dtype="U") for t in (asked, known))
+    best = BestPerQuery(len(targets), limit, -1.0)
+    if len(targets) and len(names):
+        niches, niche = (t.column("niche").to_numpy().astype(float) for t in (asked, known))
+        t_row, t_cat, _ = _flat_cats(asked)
+        b_row, b_cat, b_n = _flat_cats(known)
+        categories = np.unique(t_cat)
+        shared = np.isin(b_cat, categories)
+        b_row, b_col, b_n = b_row[shared], np.searchsorted(categories, b_cat[shared]), b_n[shared]
+        t_col, per_target = np.searchsorted(categories, t_cat), np.bincount(t_row, minlength=len(targets))
+        step = max(1, DENSE_CELLS // max(len(categories), len(targets), 1))
+        for low in range(0, len(names), step):
+            high = min(low + step, len(names))
+            mine = (b_row >= low) & (b_row < high)
+            counts = np.zeros((high - low, max(1, len(categories))))
+            counts[b_row[mine] - low, b_col[mine]] = b_n[mine]
+            for first in range(0, len(targets), step):
+                last = min(first + step, len(targets))
+                own = (t_row >= first) & (t_row < last)
+                weights = np.zeros((last - first, counts.shape[1]))
+                weights[t_row[own] - first, t_col[own]] = 1.0 / per_target[t_row[own]]
+                near = 1 - np.minimum(1.0, np.abs(niche[low:high, None] - niches[None, first:last]))
+                scores = np.round(0.65 * (counts @ weights.T) + 0.35 * near, 9)
+                scores[names[low:high, None] == targets[None, first:last]] = -np.inf
+                best.offer(scores, first, names[low:high])
+    found = best.batch(targets)
+    return pa.Table.from_arrays(found.columns, names=["target_id", "brand_id", "similarity_score"])
 
 
 # ---------------------------------------------------------------- user activity
