@@ -121,12 +121,17 @@ def linked(pairs: DataFrame, parts: DataFrame, per_cent: int) -> DataFrame:
 def met_classes(signed: DataFrame) -> DataFrame:
     """Cells (key, id, size, component) of the keys that more than one class has; most sets have none.
 
-    Cells are dealt by key once, for the count and for the join with it. A key has one row for each of its classes, of which
-    every class has as many as a fifth of its n-grams: a key of a third of all classes is no more than a few tasks' mean.
+    Cells are dealt by key once, for the count and for the join with it, as two numbers each: the key and half of the class
+    digest, which is enough to tell the classes of one key apart. The few that are left get their classes back. A key has
+    one row for each of its documents, of which every document has as many as a fifth of its n-grams: a key of a third of
+    all documents is no more than a few tasks' mean.
     """
-    cells = signed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("class").alias("id"), F.col("n_shingles").alias("size")).repartition("key")
-    shared = cells.groupBy("key").agg(F.min("id.a").alias("a0"), F.max("id.a").alias("a1")).where("a0 <> a1").select("key")
-    return cut_lineage(cells.join(shared.hint("merge"), "key", "left_semi").withColumn("component", F.col("id")))
+    able = signed.where("keys IS NOT NULL")
+    cells = able.select(F.explode("keys").alias("key"), F.col("class.a").alias("half")).repartition("key")
+    shared = cells.groupBy("key").agg(F.min("half").alias("h0"), F.max("half").alias("h1")).where("h0 <> h1").select("key")
+    met = cells.join(shared.hint("merge"), "key", "left_semi").distinct()
+    classes = able.groupBy(F.col("class").alias("id")).agg(F.min("n_shingles").alias("size")).withColumn("half", F.col("id.a"))
+    return cut_lineage(met.join(classes.hint("merge"), "half").select("key", "id", "size", F.col("id").alias("component")))
 
 
 def joined_classes(cells: DataFrame, signed: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
