@@ -118,11 +118,17 @@ def linked(pairs: DataFrame, parts: DataFrame, per_cent: int) -> DataFrame:
     return cut_lineage(found.select("a", "b"))
 
 
-def met_classes(signed: DataFrame) -> DataFrame:
+def numbered_classes(signed: DataFrame) -> DataFrame:
+    """Rows (class, doc, copies, size, id): every set that can be linked, its smallest doc_id and a number of its own."""
+    able = signed.where("keys IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("size"))
+    return cut_lineage(able).withColumn("id", F.monotonically_increasing_id())
+
+
+def met_classes(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Cells (key, id, size, component) of the keys that more than one class has; most sets have none.
 
     Cells are dealt by key once, for the count and for the join with it, as two numbers each: the key and half of the class
-    digest, which is enough to tell the classes of one key apart. The few that are left get their classes back. A key has
+    digest, which is enough to tell the classes of one key apart. The few that are left get their classes' numbers. A key has
     one row for each of its documents, of which every document has as many as a fifth of its n-grams: a key of a third of
     all documents is no more than a few tasks' mean.
     """
@@ -130,18 +136,24 @@ def met_classes(signed: DataFrame) -> DataFrame:
     cells = able.select(F.explode("keys").alias("key"), F.col("class.a").alias("half")).repartition("key")
     shared = cells.groupBy("key").agg(F.min("half").alias("h0"), F.max("half").alias("h1")).where("h0 <> h1").select("key")
     met = cells.join(shared.hint("merge"), "key", "left_semi").distinct()
-    classes = able.groupBy(F.col("class").alias("id")).agg(F.min("n_shingles").alias("size")).withColumn("half", F.col("id.a"))
-    return cut_lineage(met.join(classes.hint("merge"), "half").select("key", "id", "size", F.col("id").alias("component")))
+    halves = classes.select(F.col("class.a").alias("half"), "id", "size")
+    return cut_lineage(met.join(halves.hint("merge"), "half").select("key", "id", "size", F.col("id").alias("component")))
+
+
+def parts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Rows (id, fragment, shingles) for the given ids of classes."""
+    wanted = classes.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+    cut = segments(docs.join(wanted.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), width).withColumnRenamed("id", "class")
+    return cut_lineage(cut.join(wanted.select("class", "id").hint("merge"), "class").select("id", "fragment", "shingles").dropDuplicates(["id", "fragment"]))
 
 
-def joined_classes(cells: DataFrame, signed: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+def joined_classes(cells: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """Components (id, component) of the classes that have a link.
 
     A round compares a key's members with one pivot: at most one pair for each cell. Members of keys that still span
     components then meet by rare shingles. Both are exact together, and no key is expanded into its pairs.
     """
-    wanted = signed.join(cells.select(F.col("id").alias("class")).distinct().hint("merge"), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    parts = cut_lineage(segments(docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["id", "fragment"]))
+    parts = parts_of(cells, classes, docs, width)
     spanning = cut_lineage(spanning_cells(cells))
     links = linked(star_pairs(spanning, per_cent), parts, per_cent)
     joined = connected_components(links)
@@ -160,12 +172,12 @@ def jaccard_join(docs: DataFrame, *, width: int = WIDTH, per_cent: int = PER_CEN
     gives an empty result. Only the columns doc_id and text are read, whole.
     """
     signed = cut_lineage(keyed_documents(docs, width, per_cent))
-    components = joined_classes(met_classes(signed), signed, docs.select("doc_id", "text"), width, per_cent)
+    classes = numbered_classes(signed)
+    components = joined_classes(met_classes(signed, classes), classes, docs.select("doc_id", "text"), width, per_cent)
     rows = signed.drop("keys").withColumn("able", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = rows.where("able").groupBy(F.col("class").alias("id")).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
-    named = cut_lineage(with_components(classes, components))
+    named = cut_lineage(with_components(classes.select("class", "doc", "copies", "id", F.col("id").alias("component")), components))
     named = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")).hint("merge"), "component")
-    facts = cut_lineage(named.select(F.col("id").alias("class"), F.col("doc").alias("class_id"), "copies", "component_id"))
+    facts = cut_lineage(named.select("class", F.col("doc").alias("class_id"), "copies", "component_id"))
     met = with_group_facts(rows.where("able"), facts, ["class"], "copies", signed.count()).select("doc_id", "n_shingles", "component_id", "class_id")
     alone = rows.where("NOT able").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("class_id"))
     return met.unionByName(alone)
@@ -179,10 +191,10 @@ def jaccard_links(docs: DataFrame, *, width: int = WIDTH, per_cent: int = PER_CE
     as there are links, so a group of near copies has a row for each of its pairs. Cases as in ``jaccard_join``.
     """
     signed = cut_lineage(keyed_documents(docs, width, per_cent))
-    cells = met_classes(signed).select("id", "size").distinct()
-    names = signed.where("keys IS NOT NULL").groupBy(F.col("class").alias("id")).agg(F.min("doc_id").alias("doc"))
-    wanted = names.join(cells.select("id").hint("merge"), "id", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
-    parts = cut_lineage(segments(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["id", "fragment"]))
+    classes = numbered_classes(signed)
+    cells = met_classes(signed, classes).select("id", "size").distinct()
+    parts = parts_of(cells, classes, docs.select("doc_id", "text"), width)
+    names = classes.select("id", "doc")
     shingles = cells.join(parts.hint("merge"), "id").select("id", "size", F.col("id").alias("component"), F.explode("shingles").alias("s"))
     found = overlaps(prefix_pairs(shingles, per_cent), parts).where((100 + per_cent) * F.col("overlap") >= per_cent * (F.col("size_a") + F.col("size_b")))
     named = found.join(names.withColumnsRenamed({"id": "a", "doc": "class_a"}).hint("merge"), "a").join(names.withColumnsRenamed({"id": "b", "doc": "class_b"}).hint("merge"), "b")
