@@ -1,4 +1,4 @@
-"""Links between similar sets without all pairs of a group: one pivot a key and round, then rare-shingle prefixes for the rest.
+"""Links between similar sets without all pairs of a group: one pair a cell and round, then rare-shingle prefixes for the rest.
 
 Cells are rows (key, id, size, component): ``id`` names a distinct set, ``component`` what it is known to be joined to.
 Joins between tables that grow with the corpus are merge joins by hint, which split skewed keys.
@@ -6,12 +6,17 @@ Joins between tables that grow with the corpus are merge joins by hint, which sp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.components import connected_components
 from vitrine.session import cut_lineage
 
+#: Members of a key's largest component that the key's other members are dealt to.
+HEADS = 16
+
 
 def spanning_cells(cells: DataFrame) -> DataFrame:
     """The cells of keys that hold several components, with the key's pivot: the member whose id has the smallest hash.
@@ -29,6 +34,23 @@ def star_pairs(spanning: DataFrame, per_cent: int) -> DataFrame:
     return spanning.where(apart).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b")).distinct()
 
 
+def settling_pairs(cells: DataFrame, per_cent: int) -> DataFrame:
+    """Distinct pairs (a, b, size_a, size_b) of a member of the key's largest component and one outside it, at most one a cell.
+
+    A text that misses one pivot of a large group of near copies is linked with many others of the group; each of its keys
+    deals it to another of at most HEADS members. Keys whose components have one member each give no pairs: their members are
+    left to the prefix join, which finds every link either way.
+    """
+    head = F.struct(F.xxhash64("key", "id").alias("rank"), "id", "size")
+    parts = cells.groupBy("key", "component", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(HEADS)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(head).alias("head"))
+    groups = parts.groupBy("key", "component").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("head")).alias("heads"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("n", "component", "heads")).alias("largest")).where("largest.n > 1")
+    met = cells.join(largest.hint("merge"), "key").where("component <> largest.component")
+    met = met.select("id", "size", F.expr("largest.heads[cast(pmod(xxhash64(id, key), size(largest.heads)) AS int)]").alias("head"))
+    met = met.where(100 * F.least("head.size", "size") >= per_cent * F.greatest("head.size", "size"))
+    return met.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.size").alias("size_a"), F.col("size").alias("size_b")).distinct()
+
+
 def neighbourhoods(links: DataFrame, hops: int = 0) -> DataFrame:
     """Rows (id, component): each id under the smallest pivot it is linked to, or that pivot's own, ``hops`` times. Parts of components."""
     names = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
@@ -66,10 +88,10 @@ def prefix_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b")).distinct()
 
 
-def crowded_members(cells: DataFrame) -> DataFrame:
-    """Rows (id, size, component): the members of keys that still hold several components."""
+def crowded_cells(cells: DataFrame) -> DataFrame:
+    """The cells (key, id, size, component) of keys that still hold several components."""
     crowded = cells.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    return cells.join(crowded.hint("merge"), "key", "left_semi").select("id", "size", "component").distinct()
+    return cells.join(crowded.hint("merge"), "key", "left_semi").select("key", "id", "size", "component")
 
 
 def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -77,3 +99,15 @@ def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return joined
     return connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+
+
+def closed(cells: DataFrame, joined: DataFrame, per_cent: int, shingles_of: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components (id, component) of ``joined`` and of every link between members of the cells' keys.
+
+    ``shingles_of`` gives rows (id, size, component, s) for members (id, size, component); ``check`` keeps the pairs that are
+    links. What a large component is linked with joins it first, so that the prefix join meets only what is apart.
+    """
+    left = cut_lineage(crowded_cells(with_components(cells, joined)))
+    joined = extended(joined, cut_lineage(check(settling_pairs(left, per_cent))))
+    members = crowded_cells(with_components(left, joined)).select("id", "size", "component").distinct()
+    return extended(joined, cut_lineage(check(prefix_pairs(cut_lineage(shingles_of(members)), per_cent))))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.arrow import text_slices
 from vitrine.llm.common import repeat_rows, row_key, with_group_facts
 from vitrine.llm.components import connected_components
-from vitrine.llm.links import crowded_members, extended, neighbourhoods, prefix_pairs, spanning_cells, star_pairs, with_components
+from vitrine.llm.links import closed, neighbourhoods, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import SHINGLE, MinHasher, WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
 
@@ -126,8 +126,9 @@ def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width:
 
     The tables on the tensor's diagonal come first. What they join to a pivot is one component in the next round, which keys
     all tables, so a large group of near copies is keyed ``slots`` times and not ``slots`` squared times. A round compares the
-    members of a bucket with one pivot, at most one pair for each cell. Buckets that still span components after both rounds
-    give their members to a join on rare shingles, which finds every link between components that is left.
+    members of a bucket with one pivot, at most one pair for each cell. In buckets that still span components after both rounds
+    the members outside the largest component meet some of its own, and what is then apart goes to a join on rare shingles,
+    which finds every link between components that is left.
     """
     numbered = F.transform("slots", lambda hash, at: F.struct(at.alias("slot"), hash.alias("hash")))
     alone = classes.select("id", "size", F.col("id").alias("component"), numbered.alias("slots"))
@@ -140,9 +141,12 @@ def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width:
     spanning = cut_lineage(spanning_cells(cells_of(shared, tensor, False)))
     links = links.union(cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent)))
     joined = connected_components(links)
-    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), joined)
-    shingles = crowded_members(left).join(sets.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
-    return extended(joined, cut_lineage(verified(prefix_pairs(cut_lineage(shingles), per_cent), sets, per_cent)))
+    left = spanning.where("id <> pivot.id").select("key", "id", "size", "component")
+
+    def shingles_of(members: DataFrame) -> DataFrame:
+        return members.join(sets.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
+
+    return closed(left, joined, per_cent, shingles_of, lambda pairs: verified(pairs, sets, per_cent))
 
 
 def _decide(docs: DataFrame, passed: list[str], tensor: Tensor, width: int, per_cent: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.arrow import text_slices
 from vitrine.llm.common import with_group_facts
 from vitrine.llm.components import connected_components
-from vitrine.llm.links import crowded_members, extended, prefix_pairs, spanning_cells, star_pairs, with_components
+from vitrine.llm.links import closed, prefix_pairs, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import WordHashes, long_lists, mixed, set_digest, shingle_set
 from vitrine.session import cut_lineage
 
@@ -150,16 +150,20 @@ def parts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
 def joined_classes(cells: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """Components (id, component) of the classes that have a link.
 
-    A round compares a key's members with one pivot: at most one pair for each cell. Members of keys that still span
-    components then meet by rare shingles. Both are exact together, and no key is expanded into its pairs.
+    A round compares a key's members with one pivot: at most one pair for each cell. In keys that still span components the
+    members outside the largest one meet some of its own; what is then apart meets by rare shingles. All are exact together,
+    and no key is expanded into its pairs.
     """
     parts = parts_of(cells, classes, docs, width)
     spanning = cut_lineage(spanning_cells(cells))
     links = linked(star_pairs(spanning, per_cent), parts, per_cent)
     joined = connected_components(links)
-    left = with_components(spanning.where("id <> pivot.id").select("key", "id", "size", "component"), joined)
-    shingles = crowded_members(left).join(parts.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
-    return extended(joined, linked(prefix_pairs(cut_lineage(shingles), per_cent), parts, per_cent))
+    left = spanning.where("id <> pivot.id").select("key", "id", "size", "component")
+
+    def shingles_of(members: DataFrame) -> DataFrame:
+        return members.join(parts.hint("merge"), "id").select("id", "size", "component", F.explode("shingles").alias("s"))
+
+    return closed(left, joined, per_cent, shingles_of, lambda pairs: linked(pairs, parts, per_cent))
 
 
 def jaccard_join(docs: DataFrame, *, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
