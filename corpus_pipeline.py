@@ -11,6 +11,9 @@ from vitrine.llm.common import table
 from vitrine.llm.queries import tokenizer_file
 from vitrine.session import scratch_folder
 
+#: Similarity of near copies as per cent of the union of their five-word shingles, and tables that show 0.9998 of the pairs at it.
+NEAR_PER_CENT, NEAR_TABLES = 80, near_dedup.Tensor(slots=13)
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain model, fitted on the labelled ones among them, predicts to be toxic go."""
@@ -24,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest id stays."""
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, tensor=NEAR_TABLES, per_cent=NEAR_PER_CENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

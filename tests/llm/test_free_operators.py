@@ -13,7 +13,7 @@ import sentencepiece
 from llm_helpers import ascii_lower, awkward, docs_of  # noqa: F401
 from tokenizers import Tokenizer
 
-from vitrine.llm import chain, chunking, components, near_dedup, toxicity
+from vitrine.llm import chain, chunking, components, links, near_dedup, toxicity
 from vitrine.llm.components import connected_components
 from vitrine.llm.fingerprints import fingerprint_documents, fingerprint_edits
 from vitrine.llm.near_dedup import drop_near_copies, near_duplicates
@@ -45,7 +45,7 @@ def plain_set(text):
     return frozenset([tuple(words)]) if len(words) < 5 else frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4))
 
 
-def plain_components(rows):
+def plain_components(rows, per_cent=85):
     sets = {i: plain_set(t) for i, t in rows}
     leader = {i: i for i in sets}
 
@@ -58,7 +58,7 @@ def plain_components(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1:]:
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and sets[b] and 100 * both >= per_cent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(a), find(b)))
                 leader[y] = x
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -131,6 +131,26 @@ def test_pairs_compared_grow_with_the_texts(docs_of, monkeypatch, linked):
     assert sum(compared) <= 10 * len(rows)
 
 
+def hub(seed, n, width=160, changes=4):
+    """Edits of one text: each is close to the text and to some of the others, and too far from the rest."""
+    base = prose(seed, width)
+    return [edited(base, 100 * seed + i, 1 + i % changes) for i in range(n)]
+
+
+@pytest.mark.parametrize("per_cent", [80, 85])
+def test_members_that_miss_the_pivot_of_a_large_group(docs_of, per_cent):
+    rows = list(enumerate(hub(71, 150) + hub(72, 60) + hub(73, 40, 60, 2)))
+    got = near_duplicates(docs_of(rows).repartition(4), tensor=near_dedup.Tensor(slots=13), per_cent=per_cent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows, per_cent)
+
+
+def test_settling_pairs_meet_the_largest_component(spark):
+    rows = [(1, i, 100, 0) for i in range(50)] + [(1, 60 + i, 100, 60 + i) for i in range(5)] + [(1, 70, 40, 70), (2, 80, 100, 80), (2, 81, 100, 81)]
+    pairs = links.settling_pairs(spark.createDataFrame(rows, "key long, id long, size long, component long"), 85).collect()
+    assert sorted(r.b for r in pairs) == [60, 61, 62, 63, 64]
+    assert all(r.a < 50 for r in pairs) and len({r.a for r in pairs}) > 1
+
+
 # ---------------------------------------------------------------- packing
 
 

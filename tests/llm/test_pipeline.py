@@ -60,7 +60,9 @@ def test_stages_match_plain_versions(spark, folder, tmp_path):
     assert sorted(r.doc_id for r in after) == sorted(max(ids) for ids in groups.values())
 
     before, after = kept["near_dedup"]
-    components = plain_components([(r.doc_id, r.text) for r in before])
+    components = plain_components([(r.doc_id, r.text) for r in before], 80)
+    strict = plain_components([(r.doc_id, r.text) for r in before], 85)
+    assert any(i != c and strict[i][1] == i for i, (_, c) in components.items())
     assert sorted(r.doc_id for r in after) == sorted(i for i, (_, c) in components.items() if i == c)
 
     before, after = kept["mix_sources"]
