@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from registry import views
 from registry.core import Tables, query
-from registry.ingest_queries import KEYED
+from registry.ingest_queries import DECIDED, KEYED
+from registry.post_queries import price_sql
 
 from vitrine.session import scratch_folder
 from vitrine.streaming import jobs as J
@@ -23,23 +26,43 @@ def stream_view(t: Tables, view: str, table: str) -> DataFrame:
     return t.spark.sql(views.spark_sql(view), **{table: as_stream(t, table)})
 
 
-def finished(t: Tables, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream over what is there, and read what it wrote."""
+def finished(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """Run the stream over what is there, and read the files it wrote."""
     out, checkpoint = scratch_folder(t.spark, name), scratch_folder(t.spark, f"{name}-state")
+    run = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(out)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    run = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def totals(t: Tables, df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """Run windowed totals in update mode over what is there, and read their store."""
+    out = scratch_folder(t.spark, name)
+    run = J.upsert_stream(df, out, f"{out}-state", keys).trigger(availableNow=True).start()
     run.awaitTermination()
-    return t.spark.read.parquet(out)
+    return J.totals_store(t.spark, out, df.schema, keys).read()
+
+
+@contextmanager
+def keyed_state(spark):
+    """The state store that expiring state needs; and no batches without data, which processing time would start for ever."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 @query("stream_engagement", f"""
     WITH e AS (SELECT product_id AS id, action, exp(-greatest(0, date_diff('day', ts::DATE, DATE '2024-02-01') - 1) / 30.0) AS w FROM interactions)
     SELECT id, round_even(sum(CASE WHEN action = 'save' THEN w ELSE 0 END), 6) AS saves, round_even(sum(CASE WHEN action = 'click' THEN w ELSE 0 END), 6) AS clicks, round_even(sum(CASE WHEN action = 'view' THEN w ELSE 0 END), 6) AS impressions FROM e GROUP BY 1""")
 def _(t):
-    daily = finished(t, J.engagement_stream(stream_view(t, "interactions", "events")), "engagement", "complete")
+    daily = totals(t, J.engagement_stream(stream_view(t, "interactions", "events")), "engagement", ("day", "product_id", "event"))
     rows = J.engagement_from_daily(daily, t.now)
     return rows.select("id", *[F.bround(c, 6).alias(c) for c in ("saves", "clicks", "impressions")])
 
@@ -49,24 +72,26 @@ def _(t):
 def _(t):
     log = as_stream(t, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", 0).otherwise(F.col("user_id") % 16).alias("result_count"), (F.col("event_id") % 2 == 0).alias("cache_hit"))
-    rows = finished(t, J.search_metrics_stream(log), "search-metrics", "complete")
+    rows = totals(t, J.search_metrics_stream(log), "search-metrics", ("hour",))
     return rows.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "searches", "zero_results", F.bround("cache_hit_rate", 6).alias("cache_hit_rate"))
 
 
-@query("stream_dedupe_posts", f"""
-    WITH {KEYED}, k AS (SELECT coalesce(k_id, k_url) AS post_key FROM pk)
-    SELECT DISTINCT post_key FROM k WHERE post_key IS NOT NULL UNION ALL SELECT post_key FROM k WHERE post_key IS NULL""")
+@query("stream_dedupe_posts", f"WITH {KEYED} SELECT doc_id, k_id, k_url, k_image FROM pu")
 def _(t):
-    return finished(t, J.dedupe_stream(stream_view(t, "posts", "documents")).select("doc_id", "post_key"), "posts").select("post_key")
+    with keyed_state(t.spark):
+        return finished(t, J.dedupe_stream(stream_view(t, "posts", "documents")), "posts").select("doc_id", "k_id", "k_url", "k_image")
 
 
-@query("stream_ingest")
+@query("stream_ingest", f"""
+    WITH {KEYED}, {DECIDED} SELECT product_url, product_name, coalesce({price_sql('description')}, 0)::DOUBLE AS price, nullif(slug, '') AS normalized_subcategory
+    FROM dd WHERE decision IN ('INSERT', 'UPDATE') AND doc_id IN (SELECT doc_id FROM pu)""")
 def _(t):
     base = scratch_folder(t.spark, "ingest")
-    paths = {n: f"{base}/{n}" for n in ("snapshots", "audit", "failures", "brands")}
+    paths = {n: f"{base}/{n}" for n in ("products", "audit", "failures", "brands")}
     t.brands.write.mode("overwrite").parquet(paths["brands"])
-    job = J.ingest_stream(stream_view(t, "posts", "documents"), paths, f"{base}/state", t.categories, FASHION, FASHION_WORDS, t.now, "doc_id")
+    posts = stream_view(t, "posts", "documents")
+    job = J.ingest_stream(posts, paths, f"{base}/state", t.categories, FASHION, FASHION_WORDS, t.now, "doc_id")
     run = job.trigger(availableNow=True).start()
     run.awaitTermination()
-    last = max(p["batchId"] for p in run.recentProgress if p["numInputRows"])
-    return t.spark.read.parquet(f"{paths['snapshots']}/{last}").select("product_url", "product_name", "price", "normalized_subcategory")
+    schema = J.product_schema(posts, t.categories, FASHION, FASHION_WORDS)
+    return J.product_store(t.spark, paths["products"], schema).read().select("product_url", "product_name", "price", "normalized_subcategory")

@@ -199,17 +199,6 @@ def test_similar_brands_and_prototypes_in_blocks(spark):
     assert sorted(map(tuple, nearest_prototype(items, protos, block=10).collect())) == sorted(map(tuple, nearest_prototype(items, protos).collect()))
 
 
-def test_posts_without_identity_pass_the_stream_dedupe(spark, tmp_path):
-    columns = ("instagram_post_id", "product_url", "image_url", "brand_name")
-    rows = [("a", "u1"), ("a", "u2"), (None, None), (None, None), ("b", None)]
-    df = spark.createDataFrame([(i, u, None, None) for i, u in rows], ", ".join(f"{c} string" for c in columns)).withColumn("scraped_at", F.timestamp_seconds(F.lit(1)))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run = J.dedupe_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert sorted(r["post_key"] or "" for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["", "", "a", "b"]
-
-
 def test_no_temporary_folder_off_a_local_master(spark, monkeypatch):
     class Elsewhere:
         master = "spark://cluster:7077"

@@ -2,20 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from vitrine.functions.text import or_else
 from vitrine.operators.discovery import EVENT_NAMES, EVENTS
-from vitrine.plans.ingest import dedupe_posts, ingest_decisions, post_keys, product_payload
-from vitrine.sources.files import audit_rows, failure_rows, upsert_products
+from vitrine.plans.ingest import KEYS, dedupe_posts, ingest_decisions, post_keys, product_payload
+from vitrine.sources.files import audit_rows, failure_rows
+from vitrine.sources.store import BUCKETS, KeyedStore
 
 
-def dedupe_stream(posts: DataFrame, delay: str = "1 day", time_col: str = "scraped_at") -> DataFrame:
-    """Posts without repeats of the same post id (else URL) within the watermark. Posts with neither all pass."""
-    keyed = post_keys(posts).withColumn("post_key", F.coalesce("k_id", "k_url")).drop("k_id", "k_url", "k_image").withWatermark(time_col, delay)
-    named = keyed.where("post_key IS NOT NULL").dropDuplicatesWithinWatermark(["post_key"])
-    return named.unionByName(keyed.where("post_key IS NULL"))
+def dedupe_stream(posts: DataFrame, keep_for: str = "30 days", order_col: str = "doc_id") -> DataFrame:
+    """Posts whose id, URL and brand with image all occur for the first time within ``keep_for``; keys that are null are new.
+
+    The rule of ``dedupe_posts`` on a stream: a post that is dropped still claims its keys. The posts pass one stateful
+    step per identity; each marks a post that another came before, in an earlier batch or with a smaller ``order_col`` in
+    the same one (which is never null). A key's state is one flag that expires ``keep_for`` after the key was last seen, by processing time. Posts without
+    an identity are dealt over hashes of the whole row, so that absent keys gather in no task. Needs the RocksDB state store.
+    """
+    rows = post_keys(posts).withColumn("_late", F.lit(False))
+    kind = rows.schema
+    spread = F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in posts.columns])
+    milliseconds = int(posts.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {keep_for})")).first()[0])
+    for key in KEYS:
+        # A key starts with a letter, a hash of an absent one with a blank: they never meet.
+        group = F.coalesce(F.concat(F.lit("k"), F.col(key)), F.concat(F.lit(" "), spread.cast("string")))
+        rows = rows.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(
+            FirstSeen(order_col, milliseconds, kind.names), kind, "append", "processingTime")
+    return rows.where("NOT _late").drop("_late")
+
+
+class FirstSeen(StatefulProcessor):
+    """Marks the posts of a key that another post came before. Holds one post at a time, whatever the size of the key."""
+
+    def __init__(self, order_col: str, ttl_ms: int, names: list[str]):
+        self.order_col, self.ttl_ms, self.names = order_col, ttl_ms, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if key[0].startswith(" "):
+            yield from map(self.named, rows)
+            return
+        known = self.seen.exists()
+        first = None  # the earliest post so far; every other one is passed on as late
+        for part in map(self.named, rows):
+            if not known:
+                at = part[self.order_col].argmin()
+                best, part = part.iloc[[at]], part.drop(part.index[at])
+                if first is not None and first[self.order_col].iat[0] <= best[self.order_col].iat[0]:
+                    first, best = best, first
+                if first is not None:
+                    yield first.assign(_late=True)
+                first = best
+            if len(part):
+                yield part.assign(_late=True)
+        if first is not None:
+            yield first
+        self.seen.update((True,))
+
+    def named(self, part: pd.DataFrame) -> pd.DataFrame:
+        """The given columns by place (names with a leading underscore do not arrive), without the grouping key after them."""
+        return part.iloc[:, :len(self.names)].set_axis(self.names, axis=1)
+
+    def close(self) -> None:
+        pass
 
 
 def engagement_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -42,32 +97,65 @@ def search_metrics_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
         F.bround(F.avg(F.col("cache_hit").cast("double")), 9).alias("cache_hit_rate")).select(F.col("w.start").alias("hour"), "searches", "zero_results", "cache_hit_rate")
 
 
-def ingest_stream(posts: DataFrame, paths: dict[str, str], checkpoint: str, categories: DataFrame, taxonomy, words, now: Column, order_col: str):
-    """Start the ingest of a post stream. ``paths`` names the folders: snapshots, audit, failures, brands.
+def product_store(spark: SparkSession, path: str, schema: StructType, buckets: int = BUCKETS) -> KeyedStore:
+    """The stored products of an ingest: one row per (source, product_url), in buckets of the URL."""
+    return KeyedStore(spark, path, schema, ("source", "product_url"), ("product_url",), buckets)
+
+
+def product_schema(posts: DataFrame, categories: DataFrame, taxonomy, words) -> StructType:
+    """The schema of the products that posts of this schema become."""
+    spark = posts.sparkSession
+    none = spark.createDataFrame([], posts.schema)
+    return product_payload(ingest_decisions(none, _no_urls(spark), categories, taxonomy, words)).schema
 
-    Each micro-batch is deduplicated, decided, and upserted on (source, product_url) into a snapshot folder
-    named by its batch id. A batch that is replayed after a failure starts from the snapshot before it and
-    overwrites its own outputs, so the result is the same.
+
+def ingest_stream(posts: DataFrame, paths: dict[str, str], checkpoint: str, categories: DataFrame, taxonomy, words, now: Column, order_col: str, buckets: int = BUCKETS):
+    """Start the ingest of a post stream. ``paths`` names the folders: products, audit, failures, brands.
+
+    Each micro-batch is deduplicated, decided and upserted on (source, product_url). It reads the buckets of its own URLs
+    and writes one delta, whatever the size of the catalog; ``product_store`` reads the products back. The commit comes
+    after the audit and failure rows, which are named by the batch: a batch replayed before its commit overwrites them,
+    and one replayed after it is left out.
     """
 
+    schema = product_schema(posts, categories, taxonomy, words)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        incoming = dedupe_posts(batch, order_col)
-        previous = f"{paths['snapshots']}/{batch_id - 1}"
-        empty = product_payload(ingest_decisions(incoming.limit(0), _no_urls(spark), categories, taxonomy, words))
-        stored = spark.read.schema(empty.schema).parquet(previous) if batch_id > 0 else spark.createDataFrame([], empty.schema)
+        store = product_store(spark, paths["products"], schema, buckets)
+        if batch_id <= store.state().batch:
+            return
+        incoming = dedupe_posts(batch, order_col).persist()
+        stored = store.read(store.touched(incoming)).select("product_url")
         decided = ingest_decisions(incoming, stored, categories, taxonomy, words).persist()
         try:
-            accepted = product_payload(decided.where(F.col("decision").isin("INSERT", "UPDATE")))
-            upsert_products(stored, accepted).drop("_action").write.mode("overwrite").parquet(f"{paths['snapshots']}/{batch_id}")
             audit_rows(decided, str(batch_id), now).write.mode("overwrite").json(f"{paths['audit']}/batch={batch_id}")
             brands = spark.read.parquet(paths["brands"])
             failure_rows(decided, brands, now).write.mode("overwrite").json(f"{paths['failures']}/batch={batch_id}")
+            store.commit(product_payload(decided.where(F.col("decision").isin("INSERT", "UPDATE"))), batch_id)
         finally:
             decided.unpersist()
+            incoming.unpersist()
 
     return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def upsert_stream(totals: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...], buckets: int = BUCKETS):
+    """Start a stream of windowed totals in update mode: a micro-batch sends the windows it changed, upserted by ``keys``.
+
+    State is freed once the watermark has passed a window, and its last totals stay in the store. A replayed batch is
+    left out. ``totals_store`` reads them back, windows that are still open included.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        totals_store(batch.sparkSession, path, batch.schema, keys, buckets).commit(batch, batch_id)
+
+    return totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def totals_store(spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...], buckets: int = BUCKETS) -> KeyedStore:
+    return KeyedStore(spark, path, schema, keys, buckets=buckets)
+
+
 def _no_urls(spark) -> DataFrame:
     return spark.createDataFrame([], "product_url string")
