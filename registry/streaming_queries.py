@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +24,6 @@ def stream_view(t: Tables, view: str, table: str) -> DataFrame:
     return t.spark.sql(views.spark_sql(view), **{table: as_stream(t, table)})
 
 
-def finished(t: Tables, df: DataFrame, name: str) -> DataFrame:
-    """Run the stream over what is there, and read the files it wrote."""
-    out, checkpoint = scratch_folder(t.spark, name), scratch_folder(t.spark, f"{name}-state")
-    run = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(out)
-
-
 def totals(t: Tables, df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
     """Run windowed totals in update mode over what is there, and read their store."""
     out = scratch_folder(t.spark, name)
@@ -42,22 +32,6 @@ def totals(t: Tables, df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFr
     return J.totals_store(t.spark, out, df.schema, keys).read()
 
 
-@contextmanager
-def keyed_state(spark):
-    """The state store that expiring state needs; and no batches without data, which processing time would start for ever."""
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {key: spark.conf.get(key) for key in wanted}
-    try:
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
 @query("stream_engagement", f"""
     WITH e AS (SELECT product_id AS id, action, exp(-greatest(0, date_diff('day', ts::DATE, DATE '2024-02-01') - 1) / 30.0) AS w FROM interactions)
     SELECT id, round_even(sum(CASE WHEN action = 'save' THEN w ELSE 0 END), 6) AS saves, round_even(sum(CASE WHEN action = 'click' THEN w ELSE 0 END), 6) AS clicks, round_even(sum(CASE WHEN action = 'view' THEN w ELSE 0 END), 6) AS impressions FROM e GROUP BY 1""")
@@ -78,8 +52,10 @@ def _(t):
 
 @query("stream_dedupe_posts", f"WITH {KEYED} SELECT doc_id, k_id, k_url, k_image FROM pu")
 def _(t):
-    with keyed_state(t.spark):
-        return finished(t, J.dedupe_stream(stream_view(t, "posts", "documents")), "posts").select("doc_id", "k_id", "k_url", "k_image")
+    base = scratch_folder(t.spark, "posts")
+    run = J.dedupe_stream(stream_view(t, "posts", "documents"), f"{base}/kept", f"{base}/seen", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.parquet(f"{base}/kept").select("doc_id", "k_id", "k_url", "k_image")
 
 
 @query("stream_ingest", f"""

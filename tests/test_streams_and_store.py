@@ -6,7 +6,6 @@ from pathlib import Path
 import pytest
 
 from registry.core import Tables
-from registry.streaming_queries import keyed_state
 from conftest import SMALL
 from vitrine.plans.ingest import dedupe_posts
 from vitrine.sources.files import upsert
@@ -125,10 +124,8 @@ def test_stream_dedupe_by_three_identities_over_batches(spark, tmp_path):
         (8, "z", "https://x/5", "i8", b, DAY), (9, "a", "https://x/9", "i9", b, DAY), (10, "y", "https://x/10", "i3", b, DAY),
         (11, "w", "https://x/11", "i11", b, DAY), (12, None, None, None, None, DAY)]
     batches = [table(spark, rows, POST) for rows in (first, second)]
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    with keyed_state(spark):
-        run = replay(spark, batches, tmp_path / "in", lambda posts: J.dedupe_stream(posts).writeStream.format("parquet").option(
-            "path", out).option("checkpointLocation", state))
+    out, seen, state = (str(tmp_path / n) for n in ("out", "seen", "state"))
+    run = replay(spark, batches, tmp_path / "in", lambda posts: J.dedupe_stream(posts, out, seen, state, buckets=4))
     assert sum(1 for p in run.recentProgress if p["numInputRows"]) == 2
     kept = sorted(r[0] for r in spark.read.parquet(out).collect())
     assert kept == sorted(r[0] for r in dedupe_posts(table(spark, first + second, POST), "doc_id").select("doc_id").collect())

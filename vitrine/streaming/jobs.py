@@ -2,75 +2,48 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from vitrine.functions.text import or_else
 from vitrine.operators.discovery import EVENT_NAMES, EVENTS
+from vitrine.operators.sizes import small_side
 from vitrine.plans.ingest import KEYS, dedupe_posts, ingest_decisions, post_keys, product_payload
 from vitrine.sources.files import audit_rows, failure_rows
 from vitrine.sources.store import BUCKETS, KeyedStore
 
 
-def dedupe_stream(posts: DataFrame, keep_for: str = "30 days", order_col: str = "doc_id") -> DataFrame:
-    """Posts whose id, URL and brand with image all occur for the first time within ``keep_for``; keys that are null are new.
+def dedupe_stream(posts: DataFrame, out: str, seen: str, checkpoint: str, order_col: str = "doc_id", buckets: int = BUCKETS):
+    """Start the dedupe of a post stream: posts whose id, URL and brand with image all occur for the first time.
 
-    The rule of ``dedupe_posts`` on a stream: a post that is dropped still claims its keys. The posts pass one stateful
-    step per identity; each marks a post that another came before, in an earlier batch or with a smaller ``order_col`` in
-    the same one (which is never null). A key's state is one flag that expires ``keep_for`` after the key was last seen, by processing time. Posts without
-    an identity are dealt over hashes of the whole row, so that absent keys gather in no task. Needs the RocksDB state store.
+    The rule of ``dedupe_posts``, over all batches: a post that is dropped still claims its keys, and absent keys match
+    nothing. The keys seen so far are a store at ``seen``; a micro-batch looks up the buckets of its own keys and
+    adds one delta, so nothing of the past is held in memory or rewritten. The kept posts go to ``out`` in folders named
+    by the batch, before its keys are committed: a replay before that overwrites them, one after it is left out.
     """
-    rows = post_keys(posts).withColumn("_late", F.lit(False))
-    kind = rows.schema
-    spread = F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in posts.columns])
-    milliseconds = int(posts.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {keep_for})")).first()[0])
-    for key in KEYS:
-        # A key starts with a letter, a hash of an absent one with a blank: they never meet.
-        group = F.coalesce(F.concat(F.lit("k"), F.col(key)), F.concat(F.lit(" "), spread.cast("string")))
-        rows = rows.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(
-            FirstSeen(order_col, milliseconds, kind.names), kind, "append", "processingTime")
-    return rows.where("NOT _late").drop("_late")
-
-
-class FirstSeen(StatefulProcessor):
-    """Marks the posts of a key that another post came before. Holds one post at a time, whatever the size of the key."""
-
-    def __init__(self, order_col: str, ttl_ms: int, names: list[str]):
-        self.order_col, self.ttl_ms, self.names = order_col, ttl_ms, names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues):
-        if key[0].startswith(" "):
-            yield from map(self.named, rows)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = KeyedStore(spark, seen, StructType().add("key", "string"), ("key",), buckets=buckets)
+        if batch_id <= store.state().batch:
             return
-        known = self.seen.exists()
-        first = None  # the earliest post so far; every other one is passed on as late
-        for part in map(self.named, rows):
-            if not known:
-                at = part[self.order_col].argmin()
-                best, part = part.iloc[[at]], part.drop(part.index[at])
-                if first is not None and first[self.order_col].iat[0] <= best[self.order_col].iat[0]:
-                    first, best = best, first
-                if first is not None:
-                    yield first.assign(_late=True)
-                first = best
-            if len(part):
-                yield part.assign(_late=True)
-        if first is not None:
-            yield first
-        self.seen.update((True,))
-
-    def named(self, part: pd.DataFrame) -> pd.DataFrame:
-        """The given columns by place (names with a leading underscore do not arrive), without the grouping key after them."""
-        return part.iloc[:, :len(self.names)].set_axis(self.names, axis=1)
-
-    def close(self) -> None:
-        pass
+        keyed = post_keys(batch)
+        named = F.array(*[F.concat(F.lit(f"{k}="), F.col(k)) for k in KEYS])
+        keys = keyed.select(F.explode(F.array_compact(named)).alias("key")).distinct().persist()
+        try:
+            known = store.read(store.touched(keys)).join(keys, "key", "left_semi").persist()
+            fresh = post_keys(dedupe_posts(batch, order_col))
+            for k in KEYS:
+                old = small_side(known.where(F.col("key").startswith(f"{k}=")).select(F.substring("key", len(k) + 2, 2**31 - 1).alias(k)))
+                fresh = fresh.join(old, k, "left_anti")
+            fresh.select(*batch.columns, *KEYS).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            store.commit(keys.join(known, "key", "left_anti"), batch_id)
+            known.unpersist()
+        finally:
+            keys.unpersist()
+
+    return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def engagement_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
