@@ -19,7 +19,6 @@ from vitrine.operators.sizes import skew_safe_join
 from vitrine.operators.topk import nearest_prototype
 from vitrine.plans import ingest as I
 from vitrine.sources import files as S
-from vitrine.streaming import jobs as J
 
 
 def test_metrics_by_hand(spark):
