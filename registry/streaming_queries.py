@@ -16,8 +16,9 @@ from vitrine.taxonomy import FASHION, FASHION_WORDS
 
 
 def as_stream(t: Tables, table: str) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of part files: a path with a pattern may name either."""
     source = getattr(t, table)
-    return t.spark.readStream.schema(source.schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(source.schema).parquet(f"{t.sf_dir}/{{{table}}}.parquet")
 
 
 def stream_view(t: Tables, view: str, table: str) -> DataFrame:

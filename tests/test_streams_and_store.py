@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
+import __spark_entry__ as entry
 from registry.core import Tables
+from registry.streaming_queries import as_stream
 from conftest import SMALL
 from vitrine.plans.ingest import dedupe_posts
 from vitrine.sources.files import upsert
@@ -185,3 +187,23 @@ def test_store_of_an_empty_batch(spark, tmp_path, columns):
     assert store.commit(table(spark, []), 0) and store.read().count() == 0
     store.compact()
     assert store.vacuum() == ["delta-000000000000"]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path, files):
+    """A larger table is a folder of part files under the table's name; a small one is a file."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    if files == 1:
+        (tmp_path / "documents.parquet").write_bytes(Path(f"{SMALL}/documents.parquet").read_bytes())
+    else:
+        rows.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    stream = as_stream(Tables(spark, str(tmp_path)), "documents")
+    run = stream.writeStream.format("memory").queryName(f"streamed_{files}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert found(spark.table(f"streamed_{files}").select("doc_id")) == found(rows.select("doc_id"))
+
+
+def test_stream_dedupe_query_reads_a_folder_of_part_files(spark, tmp_path):
+    spark.read.parquet(f"{SMALL}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    run = entry.queries()["stream_dedupe_posts"]
+    assert found(run(spark, str(tmp_path))) == found(run(spark, SMALL)) != []
