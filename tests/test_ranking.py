@@ -103,3 +103,51 @@ def test_approximate_topk_recall(spark):
     exact = {(r["qid"], r["id"]) for r in K.exact_topk(q, x, 5).collect()}
     near = {(r["qid"], r["id"]) for r in K.approximate_topk(q, x, 5, dim=16, planes=5, probes=2).collect()}
     assert len(exact & near) / len(exact) > 0.7
+
+
+def test_rough_scores_lose_no_near_tie_and_decide_nothing():
+    """Pairs that single precision cannot tell apart, ties, scopes, own ids and bad vectors, against a plain double-precision scan."""
+    import pyarrow as pa
+
+    from vitrine.operators import topk as K
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 32))
+    items = np.repeat(base, 60, axis=0) + rng.standard_normal((360, 32)) * 1e-8
+    items[::7] = base[0]
+    items[11] = np.nan
+    ids = [f"i{(n * 37) % 360}" for n in range(360)]
+    categories = [None if n % 11 == 0 else n % 4 for n in range(360)]
+    qids = [ids[n] for n in range(0, 120, 3)]
+    queries = np.array([items[n] for n in range(0, 120, 3)])
+    queries[np.isnan(queries)] = 1.0
+    scopes = [None if n % 3 == 0 else [] if n % 3 == 1 else [1, 2] for n in range(len(qids))]
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    scores = np.round(np.einsum("qd,id->qi", unit(queries), unit(items)), 9)
+    for exclude in (False, True):
+        want = []
+        for n, qid in enumerate(qids):
+            able = [(-scores[n, i], ids[i]) for i in range(360) if np.isfinite(scores[n, i]) and scores[n, i] >= 0.1
+                    and (scopes[n] is None or categories[i] in scopes[n]) and not (exclude and ids[i] == qid)]
+            want += [(qid, i, -s) for s, i in sorted(able)[:9]]
+        best = K.BestPerQuery(len(qids), 9, 0.1)
+        block = K.QueryBlock(qids, K.unit_rows(pa.array(queries.tolist(), pa.list_(pa.float64()))), scopes)
+        for part in (slice(0, 200), slice(200, 360)):
+            block.score(pa.table({"id": ids[part], "embedding": pa.array(items[part].tolist(), pa.list_(pa.float64())), "category_id": pa.array(categories[part], pa.int64())}), best, exclude)
+        rows = best.batch(block.qids).to_pylist()
+        assert sorted((r["qid"], r["id"], r["similarity"]) for r in rows) == sorted(want)
+
+
+def test_few_pairs_are_scored_twice(monkeypatch):
+    import pyarrow as pa
+
+    from vitrine.operators import topk as K
+
+    rng = np.random.default_rng(6)
+    scored, exact = [], K.QueryBlock._exact
+    monkeypatch.setattr(K.QueryBlock, "_exact", lambda self, rows, vectors, cols: scored.append(len(rows)) or exact(self, rows, vectors, cols))
+    vectors = pa.array(rng.standard_normal((3_000, 64)).tolist(), pa.list_(pa.float64()))
+    names = [str(n) for n in range(3_000)]
+    block = K.QueryBlock(names, K.unit_rows(vectors))
+    block.score(pa.table({"id": names, "embedding": vectors}), K.BestPerQuery(3_000, 10, -2.0), False)
+    assert 30_000 <= sum(scored) <= 33_000

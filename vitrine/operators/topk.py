@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from vitrine.operators.sizes import at_most, small_side
 
 QUERY_BLOCK = 4_096
-ITEM_BLOCK = 20_000
-SCORE_CHUNK = 512
+# A block join emits k rows per query and item block: larger blocks, fewer rows to merge.
+JOIN_BLOCK = 8_192
+ITEM_BLOCK = 131_072
+#: Scores held at a time, and pairs scored again at a time.
+CELLS, RESCORED = 1 << 22, 1 << 16
 DIGITS = 9
 PAIRS = "qid string, id string, similarity double"
 
@@ -31,8 +34,8 @@ def unit_rows(column, keep: np.ndarray | None = None) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return matrix / np.where(norms == 0, 1.0, norms)
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+    return np.divide(matrix, np.where(norms == 0, 1.0, norms), out=matrix if matrix.flags.writeable else None)
 
 
 class BestPerQuery:
@@ -44,6 +47,8 @@ class BestPerQuery:
         self.q = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype="U1")
         self.scores = np.zeros(0)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def offer(self, scores: np.ndarray, first_query: int, ids: np.ndarray) -> None:
         """``scores`` has one row per item and one column per query, starting at ``first_query``."""
@@ -58,7 +63,24 @@ class BestPerQuery:
         if len(self.q) > 4 * self.k * self.queries + 10_000:
             self.compact()
 
+    def keep(self, q: np.ndarray, nth: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take the k best of pairs with all candidates of their queries among ``ids``, which are sorted; ``nth`` are places there."""
+        able = scores >= self.floor[q]
+        q, nth, scores = q[able], nth[able], scores[able]
+        order = np.lexsort((nth, -scores, q))
+        q = q[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q, side="left") < self.k
+        order = order[kept]
+        self.pending.append((q[kept], ids[nth[order]], scores[order]))
+        self.waiting += len(order)
+        if self.waiting > 4 * self.k * self.queries + 10_000:
+            self.compact()
+
     def compact(self) -> None:
+        if self.pending:
+            parts = [(self.q, self.ids, self.scores), *self.pending]
+            self.q, self.ids, self.scores = (np.concatenate([part[i] for part in parts]) for i in range(3))
+            self.pending, self.waiting = [], 0
         order = np.lexsort((self.ids, -self.scores, self.q))
         q = self.q[order]
         starts = np.searchsorted(q, q, side="left")
@@ -78,34 +100,60 @@ class BestPerQuery:
 
 
 class QueryBlock:
-    """Queries of one block: unit vectors and, per distinct category scope, the columns it restricts."""
+    """Queries of one block: unit vectors, and the queries of each distinct category scope."""
 
     def __init__(self, qids, matrix, scopes=None):
         self.qids = np.asarray(qids, dtype="U")
         self.matrix = matrix
-        self.scopes: dict[tuple, list[int]] = {}
-        for i, scope in enumerate(scopes or []):
-            if scope is not None:
-                self.scopes.setdefault(tuple(sorted(scope)), []).append(i)
+        groups: dict[tuple | None, list[int]] = {}
+        for i, scope in enumerate(scopes or [None] * len(self.qids)):
+            groups.setdefault(None if scope is None else tuple(sorted(scope)), []).append(i)
+        self.scopes = {scope: np.array(members) for scope, members in groups.items()}
 
     def score(self, items: pa.RecordBatch | pa.Table, best: BestPerQuery, exclude_self: bool) -> None:
+        """Offer the items to their queries. Single precision picks the pairs that can be among the k best of their query, by a
+        bound of its error; only those are scored in double precision, which alone decides. A query meets the items of its scope."""
         if items.num_rows == 0 or len(self.qids) == 0:
             return
         vectors = unit_rows(items.column("embedding"))
-        ids = np.asarray(items.column("id").to_pylist(), dtype="U")
+        ids, order = np.unique(np.asarray(items.column("id").to_pylist(), dtype="U"), return_inverse=True)
         categories = None
-        if self.scopes:
+        if any(scope is not None for scope in self.scopes):
             categories = np.array([-1 if c is None else c for c in items.column("category_id").to_pylist()], dtype=np.int64)
-        for start in range(0, len(self.qids), SCORE_CHUNK):
-            stop = min(start + SCORE_CHUNK, len(self.qids))
-            scores = np.round(vectors @ self.matrix[start:stop].T, DIGITS)
-            for scope, columns in self.scopes.items():
-                inside = [c - start for c in columns if start <= c < stop]
-                if inside:
-                    scores[np.ix_(~np.isin(categories, scope), inside)] = -np.inf
-            if exclude_self:
-                scores[ids[:, None] == self.qids[None, start:stop]] = -np.inf
-            best.offer(scores, start, ids)
+        sound = np.isfinite(vectors).all(axis=1)
+        error = (vectors.shape[1] + 8) * 1.2e-7 + 10.0 ** -DIGITS
+        single = self.matrix.astype(np.float32)
+        for scope, members in self.scopes.items():
+            inside = np.flatnonzero(sound if scope is None else sound & np.isin(categories, scope))
+            members = members[np.isfinite(self.matrix[members]).all(axis=1)]
+            if len(inside) == 0:
+                continue
+            columns = vectors[inside].astype(np.float32).T
+            place = np.argsort(order[inside], kind="stable")
+            width = max(1, CELLS // len(inside))
+            for start in range(0, len(members), width):
+                chunk = members[start:start + width]
+                rough = single[chunk] @ columns
+                if exclude_self:
+                    rough[self._own(chunk, ids, order[inside], place)] = -np.inf
+                floor = np.maximum(best.floor[chunk] - error, -2.0)
+                if len(inside) > best.k:
+                    floor = np.maximum(floor, np.partition(rough, len(inside) - best.k, axis=1)[:, len(inside) - best.k] - 2 * error)
+                rows, cols = np.nonzero(rough >= floor[:, None].astype(np.float32) - np.float32(1e-7))
+                best.keep(chunk[rows], order[inside[cols]], self._exact(chunk[rows], vectors, inside[cols]), ids)
+
+    def _own(self, chunk: np.ndarray, ids: np.ndarray, order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of queries and the items with their own id."""
+        found = np.minimum(np.searchsorted(ids, self.qids[chunk]), len(ids) - 1)
+        rows = np.flatnonzero(ids[found] == self.qids[chunk])
+        low, high = (np.searchsorted(order[place], found[rows], side=side) for side in ("left", "right"))
+        counts = high - low
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.repeat(rows, counts), place[np.repeat(low, counts) + nth]
+
+    def _exact(self, rows: np.ndarray, vectors: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        parts = [np.einsum("ij,ij->i", self.matrix[rows[i:i + RESCORED]], vectors[cols[i:i + RESCORED]]) for i in range(0, len(rows), RESCORED)]
+        return np.round(np.concatenate(parts), DIGITS) if parts else np.zeros(0)
 
 
 def _prepared(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +195,7 @@ def _scan_with_broadcast(q: DataFrame, i: DataFrame, k: int, threshold: float, e
         best = BestPerQuery(len(queries.qids), k, threshold)
         for batch in batches:
             queries.score(batch, best, exclude_self)
-        if len(best.q):
+        if len(best.q) or best.pending:
             yield best.batch(queries.qids)
 
     return i.mapInArrow(scan, PAIRS)
@@ -160,7 +208,7 @@ def block_topk(q: DataFrame, i: DataFrame, k: int, threshold: float = -2.0, excl
     one block of each. Every query block meets every item block of its group exactly once.
     """
     counted = lambda df, name, rows: df.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(name))
-    blocks = counted(q, "q_blocks", QUERY_BLOCK).join(counted(i, "i_blocks", ITEM_BLOCK), "grp")
+    blocks = counted(q, "q_blocks", min(JOIN_BLOCK, 2 * QUERY_BLOCK)).join(counted(i, "i_blocks", ITEM_BLOCK), "grp")
     blocks = small_side(blocks, 100_000)
     spread = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
