@@ -94,3 +94,30 @@ def test_weighted_mean_drops_absent_parts(spark):
 def test_taxonomy_round_trip(spark):
     again = Taxonomy.from_dataframe(FASHION.to_dataframe(spark))
     assert again.terms == FASHION.terms
+
+
+def test_factored_alternations_find_what_a_list_finds():
+    """Terms that begin alike, contain each other or end in s: the same hits as the list sorted by length."""
+    import re
+
+    from vitrine.functions.text import alternation, longest_first
+    from vitrine.taxonomy import FASHION
+
+    for terms in (["tee", "teen", "tees", "t-shirt", "t-shirts", "t", "co-ord", "coord", "a.b", "a"], sorted({t.term for t in FASHION.terms})):
+        by_length = alternation(sorted(terms, key=lambda t: (-len(t), t)))
+        scan = lambda ways: re.compile(rf"(?<![a-z0-9])(?=((?:{ways})s?)(?![a-z0-9]))")
+        texts = [f"{a}{glue}{b}s {b}" for a in terms[:40] for b in terms[:40] for glue in (" ", "-", "", "s ", ".")]
+        for text in texts:
+            assert scan(longest_first(terms)).findall(text) == scan(by_length).findall(text), text
+
+
+def test_a_scan_does_not_try_every_term_at_every_place():
+    from vitrine.functions.text import longest_first
+    from vitrine.taxonomy import FASHION
+
+    terms = {t.term for t in FASHION.terms}
+    depth, ways = 0, 1
+    for c in longest_first(terms)[3:-1]:
+        depth += (c == "(") - (c == ")")
+        ways += c == "|" and depth == 0
+    assert ways == len({t[0] for t in terms}) < len(terms) / 2

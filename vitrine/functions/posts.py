@@ -168,13 +168,13 @@ def fallback_product_name(description: Column) -> Column:
     """Colour, material and garment words of the caption; null when there are none."""
     text = F.lower(F.regexp_replace(or_else(description, ""), PHOTO_CREDIT, ""))
     nouns = sorted(PRODUCT_TERMS, key=len, reverse=True)
-    scan = (*FALLBACK_COLOURS, *FALLBACK_MATERIALS)
     words = F.array_compact(F.concat(
-        F.transform(words_found(text, FALLBACK_COLOURS, scan), F.initcap),
-        F.transform(words_found(text, FALLBACK_MATERIALS, scan), F.initcap),
+        F.transform(words_found(text, (*FALLBACK_COLOURS, *FALLBACK_MATERIALS)), F.initcap),
         F.array(F.element_at(literal_map({n: n.title() for n in nouns}), first_word(text, nouns, plural=True))),
     ))
-    return F.when(F.size(words) > 0, F.substring(F.array_join(F.array_distinct(words), " "), 1, 100))
+    name = F.substring(F.array_join(F.array_distinct(words), " "), 1, 100)
+    # Not a ``when`` over the words: its two mentions of them would read the text twice.
+    return F.get(F.filter(F.array(name), lambda n: n != ""), F.lit(0))
 
 
 def _trim_marks(text: Column, extra: str = "") -> Column:
