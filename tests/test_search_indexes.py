@@ -120,3 +120,49 @@ def test_similar_brands_in_any_number_of_blocks(spark, monkeypatch):
         for r in found.orderBy("target_id", "position").collect():
             got.setdefault(r.target_id, []).append(round(r.similarity_score, 6))
         assert got == want
+
+
+def lexical_catalog(spark, n):
+    meta = "struct<product_type:string,product_family:string,primary_colour:string,secondary_colours:array<string>,style:array<string>,hashtags:array<string>,caption:string>"
+    return spark.range(n).selectExpr(
+        "cast(id AS string) AS id", "id % 3 AS category_id", "'ACTIVE' AS catalog_status",
+        "element_at(array('red silk ring', 'blue ring ring', 'silk red ring', 'plain bolt'), cast(id % 4 AS int) + 1) AS product_name",
+        "cast(NULL AS string) AS normalized_main_category", "cast(NULL AS string) AS normalized_subcategory", "cast(NULL AS string) AS subcategory",
+        "concat('item', id) AS description", "concat('Brand', id % 2) AS brand", f"cast(NULL AS {meta}) AS metadata")
+
+
+def test_lexical_work_follows_kinds_of_products_and_texts_of_queries(spark):
+    """2,400 products of 12 kinds and 600 queries of 5 texts: what the alternatives meet does not grow with either."""
+    from vitrine.operators import lexical as L
+
+    products = lexical_catalog(spark, 2_400)
+    texts = ["ring", '"red silk"', "ring -red OR bolt", "rinng", "silk"]
+    queries = spark.createDataFrame([(str(n), texts[n % 5], [0, 2] if n % 2 else None) for n in range(600)], "qid string, query string, scope array<bigint>")
+    alternatives = queries.where("qid < '3'").select(F.explode(L.parse_search(F.col("query"))).alias("a")).select("a.*")
+    kinds = L.product_kinds(alternatives, L.index_products(products), 7)
+    assert kinds.count() == kinds.select("kind").distinct().count() * 7 <= 12 * 7
+    got = {}
+    for r in L.lexical_search(queries, products, 7).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"], r["source"]))
+    names = {r["id"]: (r["product_name"], r["category_id"]) for r in products.collect()}
+    weight = {
+        "ring": lambda n: n.split().count("ring"), '"red silk"': lambda n: "red silk" in n, "silk": lambda n: "silk" in n,
+        "ring -red OR bolt": lambda n: max(n.split().count("ring") * ("red" not in n), "bolt" in n)}
+    for q in queries.collect():
+        mine = sorted(got.get(q["qid"], []))
+        assert len(mine) == 7 and [r for r, _, _ in mine] == list(range(1, 8))
+        able = {i: n for i, (n, c) in names.items() if q["scope"] is None or c in q["scope"]}
+        if q["query"] == "rinng":
+            assert all("ring" in able[i] and source == "trigram" for _, i, source in mine)
+            assert [i for _, i, _ in mine] == sorted(i for i, n in able.items() if "ring" in n)[:7]
+        else:
+            want = sorted((-weight[q["query"]](n), i) for i, n in able.items() if weight[q["query"]](n))[:7]
+            assert [(i, source) for _, i, source in mine] == [(i, "text") for _, i in want]
+
+
+def test_products_with_one_id_and_two_texts_are_searched(spark):
+    from vitrine.operators import lexical as L
+
+    products = lexical_catalog(spark, 4).withColumn("id", F.lit("same")).withColumn("category_id", F.lit(1).cast("long"))
+    queries = spark.createDataFrame([("q", "silk"), ("p", "bolt")], "qid string, query string")
+    assert sorted((r["qid"], r["id"]) for r in L.lexical_search(queries, products.union(products), 7).collect() if r["source"] == "text") == [("p", "same"), ("q", "same")]

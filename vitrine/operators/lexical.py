@@ -68,49 +68,75 @@ def parse_search(query: Column) -> Column:
 def full_text_hits(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(qid, id, similarity, rank): products matching all words of an alternative and none it excludes.
 
-    Each alternative is looked up by its rarest word only, so a common word never fans out; the rest of the
-    alternative is then tested on the joined row. Queries that ask for the same words in the same scope, as
-    most of a search log does, are matched once and share the result.
+    Queries that ask for the same words in the same scope, as most of a search log does, are matched once and share the
+    result. Products that hold the asked terms alike in one category score alike, so they are one kind: alternatives meet
+    kinds, by their rarest term only, and of a kind only its first k products can be returned.
     """
     asked = queries.select("qid", "scope", F.posexplode(parse_search(F.col("query"))).alias("nth", "alt")).select(
         "qid", "nth", "scope", F.array_sort("alt.must").alias("must"), F.array_sort("alt.must_not").alias("must_not"))
     asked = asked.withColumn("ask", F.sha2(F.to_json(F.struct("must", "must_not", "scope")), 256))
     alternatives = asked.select("ask", "must", "must_not", "scope").dropDuplicates(["ask"])
-    wanted = alternatives.select(
-        "ask", F.explode(F.array_distinct(F.flatten(F.transform("must", lambda t: F.split(t, " "))))).alias("word"))
-    vocabulary = wanted.select("word").distinct()
-    postings = index.select("id", F.explode("words").alias("word"))
-    frequency = postings.join(small_side(vocabulary), "word", "left_semi").groupBy("word").count()
+    members = product_kinds(alternatives, index, k)
+    kinds = members.groupBy("kind").agg(F.first("category_id").alias("category_id"), F.first("held").alias("held"), F.min("id").alias("first_id"))
+    wanted = alternatives.select("ask", F.explode("must").alias("term"))
+    frequency = kinds.select(F.explode(F.map_keys("held")).alias("term")).groupBy("term").count()
     anchor = (
-        wanted.join(frequency, "word", "left")
-        .groupBy("ask").agg(F.min_by("word", F.struct(or_else(F.col("count"), 0), "word")).alias("anchor")))
+        wanted.join(frequency, "term", "left")
+        .groupBy("ask").agg(F.min_by("term", F.struct(or_else(F.col("count"), 0), "term")).alias("anchor")))
     anchored = alternatives.join(anchor, "ask")
     if at_most(alternatives, BROADCAST_ROWS):
         anchored = F.broadcast(anchored)
-    rows = index.withColumn("anchor", F.explode("words")).join(anchored, "anchor")
-    has = lambda t: F.contains(F.col("doc"), F.concat(F.lit(" "), t, F.lit(" ")))
+    rows = kinds.withColumn("anchor", F.explode(F.map_keys("held"))).join(anchored, "anchor")
+    has = lambda t: F.map_contains_key("held", t)
     in_scope = F.col("scope").isNull() | or_else(F.array_contains("scope", F.col("category_id")), False)
     matched = rows.where(in_scope & F.forall("must", has) & ~F.exists("must_not", has))
-    scored = matched.select("ask", "id", F.bround(weighted_lexical_rank(F.col("must")), 9).alias("similarity"))
-    # A product among the k best of a query is among the k best of the alternative it scores highest in.
-    spot = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("similarity"), "id"))
-    heads = scored.withColumn("_spot", spot).where(F.col("_spot") <= k).drop("_spot")
+    total = F.aggregate("must", F.lit(0.0), lambda acc, t: acc + F.element_at("held", t))
+    scored = matched.select("ask", "kind", "first_id", F.bround(total, 9).alias("similarity"))
+    # Each better kind holds a better product, so the k best products are of the k best kinds; and a product among
+    # the k best of a query is among the k best of the alternative it scores highest in.
+    best_kinds = _first(scored, "ask", "first_id", k).select("ask", "kind", "similarity")
+    heads = _first(best_kinds.join(members.select("kind", "id"), "kind").select("ask", "id", "similarity"), "ask", "id", k)
     best = asked.select("qid", "ask").join(heads, "ask").groupBy("qid", "id").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def weighted_lexical_rank(must: Column) -> Column:
-    """Sum over the query terms of their frequency per field, weighted by the field."""
-    def term_score(term: Column) -> Column:
-        total = F.lit(0.0)
-        for name, weight in FIELD_WEIGHTS:
-            single = F.size(F.filter(F.col(name), lambda w: w == term))
-            phrase = F.contains(F.concat(F.lit(" "), F.array_join(F.col(name), " "), F.lit(" ")), F.concat(F.lit(" "), term, F.lit(" "))).cast("int")
-            total = total + F.when(F.contains(term, F.lit(" ")), phrase).otherwise(single) * F.lit(weight)
-        return total
+def product_kinds(alternatives: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(kind, id, category_id, held): the products with an asked term, cut to the first k of each kind.
+
+    ``held`` maps the terms of all alternatives that a product holds to their weight in it; a kind is a category and a ``held``.
+    """
+    terms = alternatives.select(F.explode(F.concat("must", "must_not")).alias("term")).distinct()
+    terms = terms.withColumn("word", F.substring_index("term", " ", 1))
+    met = index.withColumn("word", F.explode("words")).join(small_side(terms), "word")
+    met = met.where(F.contains(F.col("doc"), F.concat(F.lit(" "), F.col("term"), F.lit(" "))))
+    weighed = met.select("id", "category_id", F.xxhash64("doc").alias("row"), F.struct("term", term_weight(F.col("term")).alias("w")).alias("t"))
+    held = weighed.groupBy("id", "category_id", "row").agg(F.array_sort(F.collect_set("t")).alias("held"))
+    kind = F.sha2(F.to_json(F.struct("held", "category_id")), 256)
+    spot = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
+    kept = held.withColumn("kind", kind).withColumn("_spot", spot).where(F.col("_spot") <= k)
+    return cut_lineage(kept.select("kind", "id", "category_id", F.map_from_entries("held").alias("held")))
+
+
+def _first(rows: DataFrame, group: str, then: str, k: int) -> DataFrame:
+    """The k rows of a group with the highest similarity, the smaller ``then`` first among equals."""
+    spot = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("similarity"), then))
+    return rows.withColumn("_spot", spot).where(F.col("_spot") <= k).drop("_spot")
+
+
+def term_weight(term: Column) -> Column:
+    """The frequency of a term per field, weighted by the field; a phrase counts once per field."""
+    total = F.lit(0.0)
+    for name, weight in FIELD_WEIGHTS:
+        single = F.size(F.filter(F.col(name), lambda w: w == term))
+        phrase = F.contains(F.concat(F.lit(" "), F.array_join(F.col(name), " "), F.lit(" ")), F.concat(F.lit(" "), term, F.lit(" "))).cast("int")
+        total = total + F.when(F.contains(term, F.lit(" ")), phrase).otherwise(single) * F.lit(weight)
+    return total
 
-    return F.aggregate(must, F.lit(0.0), lambda acc, t: acc + term_score(t))
+
+def weighted_lexical_rank(must: Column) -> Column:
+    """Sum over the query terms of their weight in the product."""
+    return F.aggregate(must, F.lit(0.0), lambda acc, t: acc + term_weight(t))
 
 
 # ---------------------------------------------------------------- trigrams
@@ -168,20 +194,20 @@ def trigram_hits(queries: DataFrame, products: DataFrame, found: DataFrame, k: i
     """Trigram matches above the floor for queries with few full-text hits, filling up to k.
 
     Similarity is computed between distinct query texts and distinct names, found through their rarest trigrams.
-    Products of equal name, brand and category score alike, so only the first k + FALLBACK_HITS of them can
-    be returned and the others are cut before the join back.
+    Products of a category that are found by one name, or by one brand, score no less than it: only the first k +
+    FALLBACK_HITS of them can be returned by it, and the others are cut before the join back.
     """
     hits = found.groupBy("qid").agg(F.count("*").alias("n_found"))
     few = queries.join(hits, "qid", "left").withColumn("n_found", or_else(F.col("n_found"), 0)).where(F.col("n_found") < FALLBACK_HITS)
     active = products.where(is_active(F.col("catalog_status")))
-    spot = Window.partitionBy("product_name", "brand", "category_id").orderBy("id")
-    shortlist = active.select("id", "product_name", "brand", "category_id", F.row_number().over(spot).alias("_spot")).where(
-        F.col("_spot") <= k + FALLBACK_HITS).drop("_spot")
-    names = shortlist.select("product_name").union(shortlist.select("brand")).distinct().toDF("name").where("name IS NOT NULL")
+    spot = F.row_number().over(Window.partitionBy("name", "category_id").orderBy("id"))
+    named = lambda column: active.select("id", F.col(column).alias("name"), "category_id").where("name IS NOT NULL").withColumn(
+        "_spot", spot).where(F.col("_spot") <= k + FALLBACK_HITS).drop("_spot")
+    shortlist = cut_lineage(named("product_name").union(named("brand")).distinct())
+    names = shortlist.select("name").distinct()
     near = trigram_pairs(few.select("query").distinct(), names)
     scored = few.join(near, "query").select("qid", "scope", "n_found", "name", "similarity")
-    by = lambda column: shortlist.join(scored, F.col(column) == F.col("name")).select("qid", "scope", "n_found", "id", "category_id", "similarity")
-    pairs = by("product_name").union(by("brand"))
+    pairs = shortlist.join(scored, "name")
     in_scope = F.col("scope").isNull() | or_else(F.array_contains("scope", F.col("category_id")), False)
     best = pairs.where(in_scope).groupBy("qid", "id", "n_found").agg(F.max("similarity").alias("similarity"))
     fresh = best.join(found.select("qid", "id"), ["qid", "id"], "left_anti")
@@ -193,11 +219,15 @@ def trigram_hits(queries: DataFrame, products: DataFrame, found: DataFrame, k: i
 def lexical_search(queries: DataFrame, products: DataFrame, k: int = 100, index: DataFrame | None = None) -> DataFrame:
     """(qid, id, similarity, rank, source): full-text hits, then trigram hits for queries with fewer than five.
 
-    Pass a stored ``index_products`` table as ``index`` to leave out the reading of all texts. The hits, at
-    most k per query, are written once because the fallback needs them three times.
+    Pass a stored ``index_products`` table as ``index`` to leave out the reading of all texts. Queries of equal text and
+    scope are answered once. The hits, at most k per text and scope, are written once because the fallback needs them
+    three times.
     """
     queries = queries if "scope" in queries.columns else queries.withColumn("scope", F.lit(None).cast("array<bigint>"))
+    asked = queries.withColumn("ask", F.sha2(F.to_json(F.struct("query", "scope")), 256))
+    texts = cut_lineage(asked.select(F.col("ask").alias("qid"), "query", "scope").dropDuplicates(["qid"]))
     index = index_products(products) if index is None else index
-    hits = cut_lineage(full_text_hits(queries, index, k))
-    filled = trigram_hits(queries, products, hits, k)
-    return hits.withColumn("source", F.lit("text")).unionByName(filled.withColumn("source", F.lit("trigram")))
+    hits = cut_lineage(full_text_hits(texts, index, k))
+    filled = trigram_hits(texts, products, hits, k)
+    found = hits.withColumn("source", F.lit("text")).unionByName(filled.withColumn("source", F.lit("trigram")))
+    return asked.select("qid", "ask").join(found.withColumnRenamed("qid", "ask"), "ask").drop("ask")
