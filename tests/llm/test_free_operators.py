@@ -151,6 +151,22 @@ def test_settling_pairs_meet_the_largest_component(spark):
     assert all(r.a < 50 for r in pairs) and len({r.a for r in pairs}) > 1
 
 
+def test_crowded_members_are_found_by_few_cells(spark):
+    """The members of every key with several components; a member of a large group is not met once for each of its keys."""
+    rows = [(key, i, 100, i) for key in range(40) for i in range(30)] + [(100 + i, 500 + i, 100, 500) for i in range(5)]
+    rows += [(0 - i, 700 + i, 100, 700 + i) for i in range(1, 4)] + [(200, 700 + i, 100, 700 + i) for i in range(1, 4)]
+    got = links.crowded_members(spark.createDataFrame(rows, "key long, id long, size long, component long"))
+    assert sorted(r.id for r in got.collect()) == [*range(30), 701, 702, 703]
+
+
+def test_closing_writes_no_row_for_each_cell_of_a_crowded_group(spark, monkeypatch):
+    written, cut = [], links.cut_lineage
+    monkeypatch.setattr(links, "cut_lineage", lambda df: written.append((df.columns, df.count())) or cut(df))
+    cells = spark.createDataFrame([(key, i, 100, i) for key in range(40) for i in range(30)], "key long, id long, size long, component long")
+    links.crowded_members(cells).count()
+    assert sum(n for _, n in written) <= 40 + 30
+
+
 # ---------------------------------------------------------------- packing
 
 

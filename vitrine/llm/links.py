@@ -88,10 +88,17 @@ def prefix_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b")).distinct()
 
 
-def crowded_cells(cells: DataFrame) -> DataFrame:
-    """The cells (key, id, size, component) of keys that still hold several components."""
-    crowded = cells.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    return cells.join(crowded.hint("merge"), "key", "left_semi").select("key", "id", "size", "component")
+def crowded_members(cells: DataFrame) -> DataFrame:
+    """Distinct members (id, size, component) of keys that hold several components.
+
+    A member of a large group has a cell in many such keys, and one of them is enough: members show it by their first key,
+    and only the others' cells are met with all keys.
+    """
+    crowded = cut_lineage(cells.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key"))
+    first = cells.groupBy("id", "size", "component").agg(F.min("key").alias("key"))
+    seen = cut_lineage(first.join(crowded.hint("merge"), "key", "left_semi").select("id", "size", "component"))
+    others = cells.join(seen.select("id").hint("merge"), "id", "left_anti").join(crowded.hint("merge"), "key", "left_semi")
+    return seen.union(others.select("id", "size", "component").distinct())
 
 
 def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -107,7 +114,7 @@ def closed(cells: DataFrame, joined: DataFrame, per_cent: int, shingles_of: Call
     ``shingles_of`` gives rows (id, size, component, s) for members (id, size, component); ``check`` keeps the pairs that are
     links. What a large component is linked with joins it first, so that the prefix join meets only what is apart.
     """
-    left = cut_lineage(crowded_cells(with_components(cells, joined)))
+    left = cut_lineage(with_components(cells, joined))
     joined = extended(joined, cut_lineage(check(settling_pairs(left, per_cent))))
-    members = crowded_cells(with_components(left, joined)).select("id", "size", "component").distinct()
+    members = crowded_members(cut_lineage(with_components(left, joined)))
     return extended(joined, cut_lineage(check(prefix_pairs(cut_lineage(shingles_of(members)), per_cent))))
