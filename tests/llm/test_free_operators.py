@@ -13,7 +13,7 @@ import sentencepiece
 from llm_helpers import ascii_lower, awkward, docs_of  # noqa: F401
 from tokenizers import Tokenizer
 
-from vitrine.llm import chain, chunking, components, links, near_dedup, toxicity
+from vitrine.llm import chain, chunking, common, components, links, near_dedup, toxicity
 from vitrine.llm.components import connected_components
 from vitrine.llm.fingerprints import fingerprint_documents, fingerprint_edits
 from vitrine.llm.near_dedup import drop_near_copies, near_duplicates
@@ -167,6 +167,19 @@ def test_closing_writes_no_row_for_each_cell_of_a_crowded_group(spark, monkeypat
     assert sum(n for _, n in written) <= 40 + 30
 
 
+@pytest.mark.parametrize("most", [1 << 26, 64])
+def test_sifted_rows_keep_all_wanted_and_few_others(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(-5_000, 5_000).selectExpr("id AS doc_id", "string(id) AS text")
+    wanted = rows.where("doc_id % 20 = 0").select("doc_id")
+    got = common.sifted(rows, wanted, "doc_id")
+    assert got.columns == ["doc_id", "text"]
+    kept = [r.doc_id for r in got.collect()]
+    assert len(kept) == len(set(kept)) and {i for i in range(-5_000, 5_000) if i % 20 == 0} <= set(kept)
+    assert most == 64 or len(kept) < 2_500
+    assert common.sifted(rows, wanted.where("false"), "doc_id").count() == 0
+
+
 # ---------------------------------------------------------------- packing
 
 

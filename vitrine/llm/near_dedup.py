@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.arrow import text_slices
-from vitrine.llm.common import repeat_rows, row_key, with_group_facts
+from vitrine.llm.common import repeat_rows, row_key, sifted, with_group_facts
 from vitrine.llm.components import connected_components
 from vitrine.llm.links import closed, neighbourhoods, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import SHINGLE, MinHasher, WordHashes, long_lists, mixed, set_digest, shingle_set
@@ -133,8 +133,8 @@ def class_components(classes: DataFrame, docs: DataFrame, tensor: Tensor, width:
     numbered = F.transform("slots", lambda hash, at: F.struct(at.alias("slot"), hash.alias("hash")))
     alone = classes.select("id", "size", F.col("id").alias("component"), numbered.alias("slots"))
     shared = cut_lineage(shared_slots(alone, tensor))
-    wanted = classes.join(shared.select("id").hint("merge"), "id", "left_semi").select(F.col("doc").alias("doc_id"))
-    sets = cut_lineage(full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), width))
+    wanted = cut_lineage(classes.join(shared.select("id").hint("merge"), "id", "left_semi").select(F.col("doc").alias("doc_id")).distinct())
+    sets = cut_lineage(full_sets(sifted(docs, wanted, "doc_id").join(wanted.hint("merge"), "doc_id"), width))
     spanning = cut_lineage(spanning_cells(cells_of(shared, tensor, True)))
     links = cut_lineage(verified(star_pairs(spanning, per_cent), sets, per_cent))
     shared = shared_slots(with_components(shared, neighbourhoods(links, 1)), tensor)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.arrow import text_slices
-from vitrine.llm.common import with_group_facts
+from vitrine.llm.common import sifted, with_group_facts
 from vitrine.llm.components import connected_components
 from vitrine.llm.links import closed, prefix_pairs, spanning_cells, star_pairs, with_components
 from vitrine.llm.shingles import WordHashes, long_lists, mixed, set_digest, shingle_set
@@ -142,8 +142,9 @@ def met_classes(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 def parts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Rows (id, fragment, shingles) for the given ids of classes."""
-    wanted = classes.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
-    cut = segments(docs.join(wanted.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), width).withColumnRenamed("id", "class")
+    wanted = cut_lineage(classes.join(ids.select("id").distinct().hint("merge"), "id", "left_semi"))
+    named = wanted.select(F.col("doc").alias("doc_id")).distinct()
+    cut = segments(sifted(docs, named, "doc_id").join(named.hint("merge"), "doc_id"), width).withColumnRenamed("id", "class")
     return cut_lineage(cut.join(wanted.select("class", "id").hint("merge"), "class").select("id", "fragment", "shingles").dropDuplicates(["id", "fragment"]))
 
 
