@@ -1,15 +1,20 @@
 """The merge-on-read store, and streams over several micro-batches: post dedupe, windowed totals, ingest."""
 
 import datetime as dt
+import glob
+import os
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from registry.core import Tables
 from registry.streaming_queries import as_stream
 from conftest import SMALL
 from vitrine.plans.ingest import dedupe_posts
+from vitrine.session import SHUFFLE_CLEANUP, cut_lineage
 from vitrine.sources.files import append_audit, read_ingestion_audit, upsert
 from vitrine.sources.store import KeyedStore
 from vitrine.streaming import jobs as J
@@ -221,3 +226,19 @@ def test_audit_files_do_not_grow_with_the_batches(spark, tmp_path):
     got = {r["post"]: r["batch"] for r in read_ingestion_audit(spark, path).collect()}
     want = {str(i): f"b {i % 1000}/x" for i in range(3_000)}
     assert got == want | {"none": "__HIVE_DEFAULT_PARTITION__", "folder": "old", "stem": "manual_7"}
+
+
+def test_a_checkpoint_leaves_no_shuffle_behind(spark):
+    def shuffles():
+        folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+        return set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*.data"))
+
+    before = shuffles()
+    rows = spark.range(10_000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    cut = cut_lineage(rows)
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
+    assert sorted(cut.collect()) == sorted(rows.collect()) == [(k, 1_000) for k in range(10)]
