@@ -151,3 +151,48 @@ def test_few_pairs_are_scored_twice(monkeypatch):
     block = K.QueryBlock(names, K.unit_rows(vectors))
     block.score(pa.table({"id": names, "embedding": vectors}), K.BestPerQuery(3_000, 10, -2.0), False)
     assert 30_000 <= sum(scored) <= 33_000
+
+
+def test_a_block_of_items_is_held_in_single_precision_alone():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vectors = pa.ListArray.from_arrays(np.arange(0, 65_536 * 64 + 1, 64, dtype=np.int32), pa.array(rng.standard_normal(65_536 * 64, dtype=np.float32)))
+    names = np.arange(65_536).astype(str).tolist()
+    items = pa.table({"id": names, "embedding": vectors, "category_id": pa.nulls(65_536, pa.int64())})
+    block = K.QueryBlock(names[:64], K.unit_rows(vectors[:64]))
+    best = K.BestPerQuery(64, 1, -2.0)
+    tracemalloc.start()
+    block.score(items, best, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    unit = K.unit_rows(vectors)
+    scores = np.round(unit[:64] @ unit.T, K.DIGITS)
+    np.fill_diagonal(scores, -2)
+    assert best.batch(block.qids).column("id").to_pylist() == [names[i] for i in scores.argmax(axis=1)]
+
+
+def test_the_best_may_lie_together_in_few_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(K, "PARTS", 8)
+    monkeypatch.setattr(K, "PARTS_OF_K", 1)
+    monkeypatch.setattr(K, "RESCORED", 4)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((400, 6))
+    vectors[::8] = vectors[0] + rng.normal(0, 0.01, (50, 6))
+    names = [f"{i:03d}" for i in range(400)]
+    column = pa.array(vectors.tolist(), pa.list_(pa.float64()))
+    unit = K.unit_rows(column)
+    scores = np.round(unit[:40] @ unit.T, K.DIGITS)
+    reached = K.reached_by(scores, 7)
+    assert ((scores >= reached[:, None]).sum(axis=1) >= 7).all()
+    best = K.BestPerQuery(40, 7, -2.0)
+    block = K.QueryBlock(names[:40], unit[:40])
+    block.score(pa.record_batch({"id": names, "embedding": column, "category_id": pa.nulls(400, pa.int64())}), best, False)
+    got = best.batch(block.qids)
+    want = [names[i] for q in range(40) for i in np.lexsort((np.arange(400), -scores[q]))[:7]]
+    assert got.column("id").to_pylist() == want

@@ -23,7 +23,9 @@ QUERY_BLOCK = 4_096
 JOIN_BLOCK = 8_192
 ITEM_BLOCK = 131_072
 #: Scores held at a time, and pairs scored again at a time.
-CELLS, RESCORED = 1 << 22, 1 << 16
+CELLS, RESCORED = 1 << 22, 1 << 14
+#: Parts whose largest scores bound the k-th best of all, at least; and for each of the k.
+PARTS, PARTS_OF_K = 1_024, 8
 DIGITS = 9
 PAIRS = "qid string, id string, similarity double"
 
@@ -38,6 +40,35 @@ def unit_rows(column, keep: np.ndarray | None = None) -> np.ndarray:
     return np.divide(matrix, np.where(norms == 0, 1.0, norms), out=matrix if matrix.flags.writeable else None)
 
 
+def raw_rows(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A list<float> Arrow column as it lies, the norms of its rows, its unit rows in single precision, and which of them are finite.
+
+    Doubles are made for RESCORED rows at a time, so a block is held in single precision alone.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    norms, single, sound = np.ones((len(matrix), 1)), np.empty(matrix.shape, np.float32), np.zeros(len(matrix), bool)
+    for start in range(0, len(matrix), RESCORED):
+        at = slice(start, start + RESCORED)
+        part = matrix[at].astype(np.float64)
+        norms[at, 0] = np.sqrt(np.einsum("ij,ij->i", part, part))
+        norms[at][norms[at] == 0] = 1.0
+        part /= norms[at]
+        single[at], sound[at] = part, np.isfinite(part).all(axis=1)
+    return matrix, norms, single, sound
+
+
+def reached_by(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that at least k of its cells reach, near the k-th largest: that of the largest cells of many parts."""
+    parts = max(PARTS, PARTS_OF_K * k)
+    width = scores.shape[1] // parts
+    if width > 1:
+        scores = scores[:, :width * parts].reshape(len(scores), width, parts).max(axis=1)
+    place = scores.shape[1] - k
+    return np.partition(scores, place, axis=1)[:, place]
+
+
 class BestPerQuery:
     """The k best (score, id) per query seen so far."""
 
@@ -115,20 +146,19 @@ class QueryBlock:
         bound of its error; only those are scored in double precision, which alone decides. A query meets the items of its scope."""
         if items.num_rows == 0 or len(self.qids) == 0:
             return
-        vectors = unit_rows(items.column("embedding"))
+        *vectors, units, sound = raw_rows(items.column("embedding"))
         ids, order = np.unique(np.asarray(items.column("id").to_pylist(), dtype="U"), return_inverse=True)
         categories = None
         if any(scope is not None for scope in self.scopes):
             categories = np.array([-1 if c is None else c for c in items.column("category_id").to_pylist()], dtype=np.int64)
-        sound = np.isfinite(vectors).all(axis=1)
-        error = (vectors.shape[1] + 8) * 1.2e-7 + 10.0 ** -DIGITS
+        error = (units.shape[1] + 8) * 1.2e-7 + 10.0 ** -DIGITS
         single = self.matrix.astype(np.float32)
         for scope, members in self.scopes.items():
             inside = np.flatnonzero(sound if scope is None else sound & np.isin(categories, scope))
             members = members[np.isfinite(self.matrix[members]).all(axis=1)]
             if len(inside) == 0:
                 continue
-            columns = vectors[inside].astype(np.float32).T
+            columns = (units if len(inside) == len(units) else units[inside]).T
             place = np.argsort(order[inside], kind="stable")
             width = max(1, CELLS // len(inside))
             for start in range(0, len(members), width):
@@ -138,8 +168,19 @@ class QueryBlock:
                     rough[self._own(chunk, ids, order[inside], place)] = -np.inf
                 floor = np.maximum(best.floor[chunk] - error, -2.0)
                 if len(inside) > best.k:
-                    floor = np.maximum(floor, np.partition(rough, len(inside) - best.k, axis=1)[:, len(inside) - best.k] - 2 * error)
-                rows, cols = np.nonzero(rough >= floor[:, None].astype(np.float32) - np.float32(1e-7))
+                    floor = np.maximum(floor, reached_by(rough, best.k) - 2 * error)
+                able = rough >= floor[:, None].astype(np.float32) - np.float32(1e-7)
+                if len(inside) > best.k and np.count_nonzero(able) > 4 * best.k * len(chunk) + RESCORED:  # the best lie together in few parts
+                    last = len(inside) - best.k
+                    floor = np.maximum(floor, np.partition(rough, last, axis=1)[:, last] - 2 * error)
+                    able = rough >= floor[:, None].astype(np.float32) - np.float32(1e-7)
+                rows, cols = np.nonzero(able)
+                values = rough[rows, cols]
+                ends = np.searchsorted(rows, np.arange(len(chunk) + 1))
+                full = np.flatnonzero(np.diff(ends) >= best.k)
+                floor[full] = np.maximum(floor[full], values[np.lexsort((-values, rows))][ends[full] + best.k - 1] - 2 * error)
+                near = values >= floor[rows].astype(np.float32) - np.float32(1e-7)
+                rows, cols = rows[near], cols[near]
                 best.keep(chunk[rows], order[inside[cols]], self._exact(chunk[rows], vectors, inside[cols]), ids)
 
     def _own(self, chunk: np.ndarray, ids: np.ndarray, order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +192,10 @@ class QueryBlock:
         nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         return np.repeat(rows, counts), place[np.repeat(low, counts) + nth]
 
-    def _exact(self, rows: np.ndarray, vectors: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        parts = [np.einsum("ij,ij->i", self.matrix[rows[i:i + RESCORED]], vectors[cols[i:i + RESCORED]]) for i in range(0, len(rows), RESCORED)]
+    def _exact(self, rows: np.ndarray, vectors: list[np.ndarray], cols: np.ndarray) -> np.ndarray:
+        matrix, norms = vectors
+        slices = [slice(i, i + RESCORED) for i in range(0, len(rows), RESCORED)]
+        parts = [np.einsum("ij,ij->i", self.matrix[rows[at]], matrix[cols[at]] / norms[cols[at]]) for at in slices]
         return np.round(np.concatenate(parts), DIGITS) if parts else np.zeros(0)
 
 
