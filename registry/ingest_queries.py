@@ -15,7 +15,7 @@ from vitrine.functions import posts as P
 from vitrine.operators import quality as Q
 from vitrine.plans import discover as D
 from vitrine.plans import ingest as I
-from vitrine.session import scratch_folder
+from vitrine.session import cut_lineage, scratch_folder
 from vitrine.sources import files as S
 from vitrine.taxonomy import FASHION, FASHION_WORDS
 
@@ -127,8 +127,8 @@ def _(t):
 
 @query("search_evaluation_log")
 def _(t):
-    queries = D.resolve_queries(t.search_queries, HARDWARE, WORDS)
-    return S.search_evaluation_rows(discover(t), queries, HARDWARE, "good")
+    queries = cut_lineage(D.resolve_queries(t.search_queries, HARDWARE, WORDS))
+    return S.search_evaluation_rows(discover(t, queries), queries, HARDWARE, "good")
 
 
 UPSERT_IN = """inc AS (SELECT 1 AS arrived, source, product_url, upper(product_name) AS product_name, NULL::DOUBLE AS price FROM products WHERE coalesce(product_url, '') <> 'not a url' AND CAST(id AS INT) % 3 = 0

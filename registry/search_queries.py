@@ -467,8 +467,8 @@ def _(t):
 # ---------------------------------------------------------------- whole searches
 
 
-def discover(t, **kw):
-    return D.batch_discover(t.search_queries, t.products, t.brands, t.categories, HARDWARE, WORDS, **kw)
+def discover(t, queries=None, **kw):
+    return D.batch_discover(t.search_queries if queries is None else queries, t.products, t.brands, t.categories, HARDWARE, WORDS, **kw)
 
 
 def shape(df):

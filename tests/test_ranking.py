@@ -196,3 +196,23 @@ def test_the_best_may_lie_together_in_few_parts(monkeypatch):
     got = best.batch(block.qids)
     want = [names[i] for q in range(40) for i in np.lexsort((np.arange(400), -scores[q]))[:7]]
     assert got.column("id").to_pylist() == want
+
+
+@pytest.mark.parametrize("key", ["search_evaluation_log"])
+def test_a_products_text_is_read_once_and_not_for_each_candidate(spark, monkeypatch, key):
+    from conftest import SMALL
+    from registry import load_all
+
+    read, texts = X.product_search_text, spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        texts.add(1)
+        return text
+
+    monkeypatch.setattr(X, "product_search_text", lambda p: counted(read(p)))
+    rows = load_all()[0][key](spark, SMALL)
+    assert "InArrow" not in rows._jdf.queryExecution().executedPlan().toString()  # the search is stored, not run by each reader
+    rows.write.format("noop").mode("overwrite").save()
+    products = spark.read.parquet(f"{SMALL}/part.parquet").count()
+    assert 0 < texts.value <= 4 * products  # retrieved, and added for their type; the text may be joined for each of two uses

@@ -32,6 +32,8 @@ TEXT_COLUMNS = (
     "normalized_subcategory", "audience", "category_audience",
 )
 METADATA_FIELDS = ("colour", "color", "style", "fit", "primary_colour", "secondary_colours", "product_type")
+#: What the rankers read out of a product's text; it depends on the product alone.
+FEATURES = ("_hay", "_aud", "_genders", "_categories", "_types", "_families", "_full", "_full_types", "_full_families")
 
 
 def completed(df: DataFrame) -> DataFrame:
@@ -47,14 +49,30 @@ def completed(df: DataFrame) -> DataFrame:
 
 
 def with_text_features(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """Read each candidate's text once: ``_hay``, ``_types``, ``_families``, ``_aud``, ``_cat``."""
+    """Read each row's text once: ``FEATURES``. Candidates that carry them already keep them."""
     df = completed(df)
+    if all(c in df.columns for c in FEATURES):
+        return df
     df = df.withColumns({
-        "_hay": X.product_search_text(df),
+        "_hay": X.product_search_text(df), "_full": X.rerank_haystack(df),
         "_aud": X.audience_text(df),
-        "_cat": F.lower(X.join_words([F.col(c) for c in ("category", "subcategory", "normalized_main_category", "normalized_subcategory")])),
     })
-    return df.withColumns({"_types": X.matched_types(F.col("_hay"), taxonomy), "_families": X.matched_families(F.col("_hay"), taxonomy)})
+    words = F.lower(X.join_words([F.col(c) for c in ("category", "subcategory", "normalized_main_category", "normalized_subcategory")]))
+    return df.withColumns({
+        "_genders": X.named_genders(F.col("_aud")), "_categories": X.category_families(words, taxonomy),
+        "_types": X.matched_types(F.col("_hay"), taxonomy), "_families": X.matched_families(F.col("_hay"), taxonomy),
+        "_full_types": X.matched_types(F.col("_full"), taxonomy), "_full_families": X.matched_families(F.col("_full"), taxonomy),
+    })
+
+
+def described_hits(hits: DataFrame, products: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Hits with the columns and text features of their products.
+
+    A product is a candidate of many queries, so its text is read before the join, and only if it was hit. ``hits`` is
+    read twice: it should be stored (``cut_lineage``).
+    """
+    found = products.join(hits.select("id").distinct(), "id", "left_semi")
+    return hits.join(with_text_features(found, taxonomy).select(*products.columns, *FEATURES), "id")
 
 
 def _flag(unset: Column, matched: Column) -> Column:
@@ -66,13 +84,13 @@ def ranking_signals(df: DataFrame, taxonomy: Taxonomy, category_id: Column, imag
     a, hay = df["attributes"], F.col("_hay")
     similarity = or_else(df["similarity"], 0.0)
     signals = {
-        "category_match": X.category_match_score(df["category_id"], F.col("_cat"), a["product_family"], category_id, taxonomy),
+        "category_match": X.category_match_score(df["category_id"], F.col("_categories"), a["product_family"], category_id),
         "product_family_match": _flag(a["product_family"].isNull(), F.array_contains("_families", a["product_family"])),
         "product_type_match": _flag(a["product_type"].isNull(), F.array_contains("_types", a["product_type"])),
         "colour_match": X.phrase_match_score(hay, a["colours"]),
         "style_match": X.phrase_match_score(hay, F.concat(a["styles"], a["aesthetic_terms"])),
         "fit_match": X.phrase_match_score(hay, a["fits"]),
-        "gender_match": X.gender_match_score(F.col("_aud"), a["gender"]),
+        "gender_match": X.gender_match_score(F.col("_aud"), a["gender"], F.col("_genders")),
         "niche_score": or_else(S.clamp01(df["niche_score"]), 0.0),
     }
     if image:
@@ -97,7 +115,7 @@ def _survivors(df: DataFrame, requested: Column, signal: str) -> DataFrame:
     return df.withColumn("_any", any_hit).where(requested.isNull() | hit | ~F.col("_any")).drop("_any")
 
 
-def score_text(candidates: DataFrame, taxonomy: Taxonomy, *, personal_match: Column | None = None) -> DataFrame:
+def score_text(candidates: DataFrame, taxonomy: Taxonomy, *, personal_match: Column | None = None, keep_features: bool = False) -> DataFrame:
     """Score text-search candidates and apply the family, type and gender gates, in that order.
 
     ``candidates`` holds product columns, qid, similarity, ``attributes`` and ``requested_category_id``.
@@ -112,7 +130,7 @@ def score_text(candidates: DataFrame, taxonomy: Taxonomy, *, personal_match: Col
     rows = rows.where(family.isNull() | (F.col("score_breakdown.product_family_match") > 0))
     rows = _survivors(rows, F.col("attributes.product_type"), "product_type_match")
     rows = _survivors(rows, F.col("attributes.gender"), "gender_match")
-    return rows.drop("_aud", "_cat", "_families")
+    return rows if keep_features else rows.drop(*[c for c in FEATURES if c not in ("_hay", "_types")])
 
 
 def dominant_category(candidates: DataFrame, leading: int = 10, floor: int = 3) -> DataFrame:
@@ -132,19 +150,14 @@ def score_image(candidates: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     rows = candidates.join(dominant_category(candidates), "qid", "left")
     category = F.coalesce("requested_category_id", "dominant_category")
     rows = ranking_signals(with_text_features(rows, taxonomy), taxonomy, category, image=True)
-    return rows.withColumn("final_score", weighted_score(IMAGE_WEIGHTS)).drop("_aud", "_cat", "_families")
+    return rows.withColumn("final_score", weighted_score(IMAGE_WEIGHTS)).drop(*[c for c in FEATURES if c not in ("_hay", "_types")])
 
 
 def structured_rerank(candidates: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Seven transparent signals; an unset attribute adds nothing, the wrong audience subtracts."""
     df = with_text_features(candidates, taxonomy)
     a = df["attributes"]
-    hay = X.rerank_haystack(df)
-    df = df.withColumns({"_full": hay})
-    df = df.withColumns({
-        "_full_types": X.matched_types(F.col("_full"), taxonomy), "_full_families": X.matched_families(F.col("_full"), taxonomy),
-        "_fused": minmax(or_else(df["similarity"], 0.0)),
-    })
+    df = df.withColumn("_fused", minmax(or_else(df["similarity"], 0.0)))
     audience = X.audience_signal(F.col("_aud"), a["gender"])
     signals = {
         "fused": F.col("_fused"),
@@ -168,13 +181,12 @@ def structured_rerank(candidates: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     total = F.lit(0.0)
     for n in RERANK_SIGNALS:
         total = total + F.col(f"score_breakdown.{n}")
-    return df.withColumn("final_score", S.half_even(total, 12)).drop(
-        "_aud", "_cat", "_types", "_families", "_full", "_full_types", "_full_families", "_fused", "_hay")
+    return df.withColumn("final_score", S.half_even(total, 12)).drop(*FEATURES, "_fused")
 
 
 def gated_rerank(candidates: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """The weighted ranker decides who survives; the structured reranker decides their order."""
-    survivors = score_text(candidates, taxonomy).drop("_hay", "_types", "score_breakdown", "final_score")
+    survivors = score_text(candidates, taxonomy, keep_features=True).drop("score_breakdown", "final_score")
     return structured_rerank(survivors, taxonomy)
 
 
