@@ -19,7 +19,7 @@ from vitrine.operators import ranking as R
 from vitrine.operators import retrieval as V
 from vitrine.operators.topk import exact_topk
 from vitrine.plans import discover as D
-from vitrine.session import scratch_folder
+from vitrine.session import cut_lineage, scratch_folder
 
 COS = "round_even(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9)"
 
@@ -269,10 +269,10 @@ def _(t):
 def ranked_candidates(t, k=80):
     """Vector candidates with all product columns, the parsed query and the requested category."""
     queries = V.with_attributes(t.search_queries, HARDWARE, WORDS)
-    hits = V.knn_join(t.search_queries, t.products, t.categories, threshold=0.0, k=k)
+    hits = cut_lineage(V.knn_join(t.search_queries, t.products, t.categories, threshold=0.0, k=k))
     products = C.enrich_products(t.products.drop("embedding"), t.brands, t.categories)
     facts = queries.select("qid", "attributes", F.col("category_id").alias("requested_category_id"))
-    return hits.join(products, "id").join(facts, "qid")
+    return R.described_hits(hits, products, HARDWARE).join(facts, "qid")
 
 
 def shared_sql(hay: str, items: str, empty: str) -> str:

@@ -198,7 +198,7 @@ def test_the_best_may_lie_together_in_few_parts(monkeypatch):
     assert got.column("id").to_pylist() == want
 
 
-@pytest.mark.parametrize("key", ["search_evaluation_log"])
+@pytest.mark.parametrize("key", ["search_evaluation_log", "final_ranking_image"])
 def test_a_products_text_is_read_once_and_not_for_each_candidate(spark, monkeypatch, key):
     from conftest import SMALL
     from registry import load_all
