@@ -25,7 +25,7 @@ def narrow_tables(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("key", ["ann_recall", "exact_type_products", "hybrid_candidates"])
+@pytest.mark.parametrize("key", ["ann_recall", "exact_type_products", "hybrid_candidates", "final_ranking_text"])
 def test_parts_and_vectors_meet_by_shuffle(spark, narrow_tables, key):
     """However few bytes Spark takes the table of parts to have, its keys do not go through the driver."""
     result = entry.queries()[key](spark, narrow_tables)
